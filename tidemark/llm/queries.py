@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, sharding, urlfilter, warc
+from tidemark.llm import packing, quality, sharding, tokenfile, urlfilter, warc
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
+VOCABULARIES = "TIDEMARK_TOKENIZERS"
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer file; the environment may name another folder."""
+    folder = os.environ.get(VOCABULARIES)
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,6 +39,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     sized = table(spark, sf_dir, "documents").select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -31,12 +50,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfile.write_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return tokenfile.read_files(files)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op2_quality": op2_quality, "op5_url_filter": op5_url_filter, "op7_sharding": op7_sharding, "op10_warc": op10_warc}
+QUERIES = {f.__name__: f for f in (op2_quality, op5_url_filter, op6_packing, op7_sharding, op9_token_files, op10_warc)}
 
 
 def queries() -> dict:
