@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, packing, quality, sharding, tokenfile, urlfilter, warc
+from tidemark.llm import jaccard, lm, packing, quality, sharding, tokenfile, urlfilter, warc
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -37,6 +37,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     model = urlfilter.fit(urlfilter.weak_labels(pages, URL_RULES))
@@ -64,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_jaccard, op5_url_filter, op6_packing, op7_sharding, op9_token_files, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_jaccard, op4_lm_score, op5_url_filter, op6_packing, op7_sharding, op9_token_files, op10_warc)}
 
 
 def queries() -> dict:
