@@ -3,8 +3,8 @@ text goes with them.
 
 Rules for a line that has a word:
 
-* punctuation - it must end with closing punctuation (quotes and brackets may follow), and no more than a tenth of
-  its words may carry a run of two or more marks such as ``!!`` or ``***``;
+* punctuation - it must end with closing punctuation (quotes and brackets may follow) or be prose that is cut short
+  (a sentence ends within), and no more than a tenth of its words may carry a run of two or more marks such as ``!!`` or ``***``;
 * navigation - separators between its words (``|``, bullets, arrows), or a short line that holds a menu phrase;
 * boilerplate - phrases of notices, scripts and banners, a line in capitals, or a line seen before in the document.
 
@@ -28,6 +28,9 @@ from tidemark.llm.words import ngram_hashes, scramble, slices, word_hashes
 LEAST_KEPT = 0.5
 SYMBOLS = b"#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
+#: Prose that is cut short: so many words, and a sentence that ends within.
+CUT_WORDS = 15
+SENTENCE = re.compile(r"""\w[.!?。！？]["'”’»)]?\s""")
 CLOSED = re.compile(r"""[.!?:;…。！？؟।।፧‽][\s"'”’»›)\]}」』】]*\Z""")
 MARKS = re.compile(r"[!?*#$%&|<>=~^_+@\\/]{2,}")
 SEPARATOR = re.compile(r"(?:^|\s)[|»›•·→>◦▪](?:\s|$)|\s[|»›•·→>◦▪]\s")
@@ -45,7 +48,7 @@ def judge_line(line: str, n_words: int, seen: bool) -> str | None:
         return "navigation"
     if n_words <= NOTICE_WORDS and NOTICE.search(line):
         return "boilerplate"
-    if not CLOSED.search(line) or 10 * len(MARKS.findall(line)) > n_words:
+    if 10 * len(MARKS.findall(line)) > n_words or not CLOSED.search(line) and not (n_words >= CUT_WORDS and SENTENCE.search(line)):
         return "punctuation"
     if n_words >= 3 and line.isupper():
         return "boilerplate"
@@ -98,6 +101,20 @@ def repeated_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return counts, repeats
 
 
+def figures(texts: list[str], least_kept: float) -> list[tuple]:
+    """The fields of each text, in the order of ``FIELDS``, then the cleaned text."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    words, repeats = repeated_words(raw)
+    rows = []
+    for t, b, n, r in zip(texts, raw, words.tolist(), repeats.tolist(), strict=True):
+        chars = len(t) - sum(t.count(c) for c in SPACE)
+        symbols = len(b) - len(b.translate(None, SYMBOLS))
+        cleaned, kept, dup, broken, _ = clean(t)
+        failed = n < 50 or 100 * r > 50 * n
+        rows.append((n, chars, symbols, dup, r, kept, *(broken[x] for x in RULES), failed, not failed and kept >= least_kept * n, cleaned))
+    return rows
+
+
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_kept_words long, n_punctuation long, n_navigation long, n_boilerplate long, base_failed boolean, kept boolean"
 
 
@@ -113,15 +130,7 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            words, repeats = repeated_words(raw)
-            rows = []
-            for t, b, n, r in zip(texts, raw, words.tolist(), repeats.tolist(), strict=True):
-                chars = len(t) - sum(t.count(c) for c in SPACE)
-                symbols = len(b) - len(b.translate(None, SYMBOLS))
-                cleaned, kept, dup, broken, _ = clean(t)
-                failed = n < 50 or 100 * r > 50 * n
-                rows.append((n, chars, symbols, dup, r, kept, *(broken[x] for x in RULES), failed, not failed and kept >= least_kept * n, cleaned))
+            rows = figures(texts, least_kept)
             columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(12)]
             kinds = [pa.int64()] * 9 + [pa.bool_()] * 2 + [pa.string()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 12 if with_text else 11]
@@ -129,3 +138,15 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None, with
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + arrays, names=[*batch.schema.names[:-1], *names])
 
     return source.mapInArrow(run, schema)
+
+
+def keep_good(df: DataFrame, text: str = "text", least_kept: float = LEAST_KEPT) -> DataFrame:
+    """The rows of ``df`` whose text is kept, as they were: one pass, whatever the columns are named."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(place).cast(pa.string()).to_pylist()]
+            yield batch.filter(pa.array([row[10] for row in figures(texts, least_kept)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, lm, packing, quality, sharding, tokenfile, urlfilter, warc
+from tidemark.llm import ann, jaccard, lm, mixing, packing, quality, sharding, tokenfile, urlfilter, warc
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    index, books = ann.build(rows, 5)
+    return ann.search(index, books, rows.where("vec_id % 50 = 0"), 5)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -58,6 +64,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), seed=17, details=True)
+    return mixed.select("doc_id", "source", "n_copies", "copy")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfile.write_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return tokenfile.read_files(files)
@@ -68,7 +79,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_jaccard, op4_lm_score, op5_url_filter, op6_packing, op7_sharding, op9_token_files, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_jaccard, op4_lm_score, op5_url_filter, op6_packing, op7_sharding, op8_mixing, op9_token_files, op10_warc)}
 
 
 def queries() -> dict:
@@ -76,4 +87,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_mixing": mixing.ORACLE.format(seed=17)}
