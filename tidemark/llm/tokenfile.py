@@ -33,50 +33,57 @@ from tidemark.llm.tokens import encoder
 MAGIC = b"TIDERP01"
 HEAD = struct.Struct("<8sIIQQQII")  # magic, first nonterminal, rounds, documents, symbols, tokens, rules, bytes a symbol
 FILE_TOKENS = 2_000_000
-ROUNDS = 6
-PAIRS_A_ROUND = 8192
+ROUNDS = 5
 LEAST_USES = 8
 SLOTS = 20
 
 
-def count_pairs(symbols: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(frequent pairs as 64-bit keys ascending, positions that may hold one, their keys)."""
+def slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
+
+
+def frequent_pairs(symbols: np.ndarray, inner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the pairs to replace as 64-bit keys ascending, positions that hold one, which pair each holds)."""
     keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
-    slot[~inner] = 0
-    uses = np.bincount(slot, minlength=1 << SLOTS)
-    uses[0] = 0
-    places = np.flatnonzero((uses >= LEAST_USES)[slot])
+    slot = slots(keys)
+    uses = np.bincount(slot[inner], minlength=1 << SLOTS)
+    places = np.flatnonzero((uses >= LEAST_USES)[slot] & inner)
     found = keys[places]
     ordered = np.sort(found)
-    if not len(ordered):
-        return ordered, places, found
-    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(edges, len(ordered)))
     good = np.flatnonzero(sizes >= LEAST_USES)
-    if len(good) > PAIRS_A_ROUND:
-        good = np.sort(good[np.argsort(-sizes[good], kind="stable")[:PAIRS_A_ROUND]])
-    return ordered[edges[good]], places, found
+    good = good[np.argsort(-sizes[good], kind="stable")[:most]]
+    # a slot serves the most frequent of its pairs
+    owner = np.full(1 << SLOTS, -1, np.int32)
+    own = slots(ordered[edges[good]])
+    owner[own[::-1]] = good[::-1]
+    good = np.sort(good[owner[own] == good])
+    pairs = ordered[edges[good]]
+    owner[:] = -1
+    owner[slots(pairs)] = np.arange(len(pairs))
+    rank = owner[slot[places]]
+    hit = rank >= 0
+    places, rank, found = places[hit], rank[hit], found[hit]
+    hit = pairs[rank] == found
+    return pairs, places[hit], rank[hit]
 
 
 def repair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(symbols, last marks, rules of each round).  ``last`` marks the last symbol of each document."""
     rounds: list[np.ndarray] = []
+    most = max(256, ((1 << 16) - base) // ROUNDS)  # symbols of two bytes, where the vocabulary leaves room
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        pairs, places, found = count_pairs(symbols, ~last[:-1])
+        pairs, places, rank = frequent_pairs(symbols, ~last[:-1], most)
         if not len(pairs):
             break
-        rank = np.minimum(np.searchsorted(pairs, found), len(pairs) - 1)
-        hit = pairs[rank] == found
-        places, rank = places[hit], rank[hit]
         run = np.concatenate(([True], np.diff(places) != 1))
         odd = (places - places[np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))]) % 2
         places, rank = places[odd == 0], rank[odd == 0]
-        symbols = symbols.copy()
+        symbols, last = symbols.copy(), last.copy()
         symbols[places] = base + rank.astype(np.uint32)
-        last = last.copy()
         last[places] = last[places + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[places + 1] = False

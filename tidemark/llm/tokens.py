@@ -3,7 +3,7 @@
 Both vocabularies split a text before merging, and no piece of that split reaches over a space that stands between
 two solid characters.  So a text is cut at such spaces, each cut is encoded by the library's own normaliser, splitter
 and model once, and its ids are kept as little-endian 32-bit words.  Texts with other spacing go to the library
-whole.  The cache is emptied when it is full: its bound costs time, never results.
+whole.  A full cache takes no more words: its bound costs time, never results.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import os
 import re
 import sys
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Letters, then marks: both vocabularies split these into the letters and the run of marks.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Byte-level vocabularies write a byte that prints as itself, and the n-th of the others as chr(256 + n).
 PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTING)}
@@ -27,9 +28,23 @@ class Odd(Exception):
     """A cut that may not be encoded by itself."""
 
 
+class Marks(dict):
+    """The ids of a run of closing marks."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.encode(run)
+        if len(self) < 10_000:
+            self[run] = ids
+        return ids
+
+
 class Cuts(dict):
     def __init__(self, encode, lead: str, strict: bool, heads: Cuts | None = None):
         self.encode, self.lead, self.strict, self.heads = encode, lead, strict, self if heads is None else heads
+        self.marks: Marks = Marks(encode)
         self.line_end = encode("\n") if strict else b""
 
     def __missing__(self, cut: str) -> bytes:
@@ -38,9 +53,14 @@ class Cuts(dict):
         if self.strict and "\n" in cut:  # a lone line end between solid characters stands by itself
             head, *rest = cut.split("\n")
             return self[head] + b"".join(self.line_end + self.heads[x] for x in rest)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[cut] = ids = self.encode(self.lead + cut) if cut else b""
+        if not cut:
+            ids = b""
+        elif (plain := PLAIN.fullmatch(cut)) and plain[2]:
+            ids = self[plain[1]] + self.marks[plain[2]]
+        else:
+            ids = self.encode(self.lead + cut)
+        if len(self) < CACHE_WORDS:
+            self[cut] = ids
         return ids
 
 
@@ -55,17 +75,20 @@ class Encoder:
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.normalise = self.tool.normalizer.normalize_str if self.tool.normalizer else str
         self.split, self.merge = self.tool.pre_tokenizer.pre_tokenize_str, self.tool.model.tokenize
-        self.spaced = spaced
+        self.spaced, self.shown_space = spaced, chr(SHOWN[32])
         self.first = Cuts(self.one, "", spaced)
         self.later = Cuts(self.one, " " if spaced else "", spaced, self.first)
 
     def one(self, cut: str) -> bytes:
-        if plain := PLAIN.fullmatch(cut):
-            word, marks = plain.groups()
-            pieces = [(word if self.spaced else word.strip().lower()).encode().decode("latin-1").translate(SHOWN), *[marks] * bool(marks)]
+        word = cut[1:] if cut[0] == " " else cut
+        if word.isascii() and word.isalpha():
+            ids = array.array("I", [t.id for t in self.merge(self.shown_space + word if word is not cut else word if self.spaced else word.lower())])
         else:
-            pieces = [piece for piece, _ in self.split(self.normalise(cut))]
-        ids = array.array("I", [t.id for piece in pieces for t in self.merge(piece)])
+            if LETTERS.fullmatch(word):
+                pieces = [(cut if self.spaced else cut.lower()).encode().decode("latin-1").translate(SHOWN)]
+            else:
+                pieces = [piece for piece, _ in self.split(self.normalise(cut))]
+            ids = array.array("I", [t.id for piece in pieces for t in self.merge(piece)])
         if sys.byteorder != "little":
             ids.byteswap()
         return ids.tobytes()
