@@ -57,12 +57,12 @@ def sticky_assign(members: DataFrame, topics: DataFrame, owned: DataFrame) -> Da
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         wanted = left.groupby("member").topic.apply(set).to_dict()
         parts = [(t, i) for t, n in left[["topic", "partitions"]].drop_duplicates().itertuples(index=False) for i in range(int(n))]
-        had = {(r.topic, int(r.partition)): r.member for r in right.itertuples()}
+        had = {(r.had_topic, int(r.had_partition)): r.had_member for r in right.itertuples()}
         got = sticky(list(wanted), wanted, parts, had)
         return pd.DataFrame([(key[0], m, t, p) for (t, p), m in sorted(got.items())], columns=["group", "member", "topic", "partition"])
 
-    had = owned.select(F.col("group").alias("own_group"), "topic", "partition", "member")
-    return want.groupBy("group").cogroup(had.groupBy("own_group")).applyInPandas(run, "group string, member string, topic string, partition long")
+    had = owned.toDF(*[f"had_{c}" for c in owned.columns])  # both sides may come from one table
+    return want.groupBy("group").cogroup(had.groupBy("had_group")).applyInPandas(run, "group string, member string, topic string, partition long")
 
 
 def share_rotation(members: DataFrame, topics: DataFrame) -> DataFrame:
