@@ -8,7 +8,6 @@ be compressed as a whole.  All numbers are big-endian; records use zigzag varint
 from __future__ import annotations
 
 import gzip
-import io
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -69,12 +68,10 @@ def compress(kind: int, data: bytes) -> bytes:
     if kind == SNAPPY:
         return pa.compress(data, codec="snappy", asbytes=True)
     if kind == LZ4:
-        sink = io.BytesIO()
+        sink = pa.BufferOutputStream()
         with pa.CompressedOutputStream(sink, "lz4") as stream:
             stream.write(data)
-            stream.flush()
-            stream.close()
-        return sink.getvalue()
+        return sink.getvalue().to_pybytes()
     if kind == ZSTD:
         import zstandard
 
