@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import materialise, partitions_for, release
 from tidemark.llm.words import ODD, distinct, scramble, slices, word_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 CELLS_AN_OCTAVE, DEEPEST, BUCKETS = 4, 48, 40
 EM_ROUNDS, LEAST_WEIGHT = 60, 1e-6
@@ -300,4 +300,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     release(spark, rows, told)
     seen = counts.select(F.explode(F.arrays_zip("cells", "times")).alias("x")).groupBy("x.cells").agg(F.sum("x.times").alias("times")).collect()  # a bounded table of cells
     weights = learn(np.array([r["cells"] for r in seen], np.int64), np.array([r["times"] for r in seen], np.int64), totals[0])
+    if not totals[1]:
+        weights[:] = [0.0, 0.0, 1.0]
     return counts.select("ids", "sizes", "word", "pair").mapInArrow(scored(totals, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
