@@ -30,7 +30,7 @@ from tidemark.llm.scratch import materialise, partitions_for, scratch_path
 BOOKS, WORDS, BEAM = 8, 256, 6
 #: The codebooks are fitted on this many rows at most, those with the smallest hash of their id.
 SAMPLE = 8192
-BLOCK, SHORTLIST = 16384, 100
+BLOCK, SHORTLIST = 4096, 100
 #: Queries that are held by a task at a time (about; they are dealt by a hash).
 QUERIES = 2048
 QUERY_STEP = 64

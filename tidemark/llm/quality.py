@@ -30,7 +30,7 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
 #: Prose that is cut short: so many words, and a sentence that ends within.
 CUT_WORDS = 15
-SENTENCE = re.compile(r"""\w[.!?。！？]["'”’»)]?\s""")
+SENTENCE = re.compile(r"""[^\W_][.!?。！？]["'”’»)]?[ \t]""")
 CLOSED = re.compile(r"""[.!?:;…。！？؟।।፧‽][\s"'”’»›)\]}」』】]*\Z""")
 MARKS = re.compile(r"[!?*#$%&|<>=~^_+@\\/]{2,}")
 SEPARATOR = re.compile(r"(?:^|\s)[|»›•·→>◦▪](?:\s|$)|\s[|»›•·→>◦▪]\s")

@@ -36,7 +36,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_kept_words", "base_failed", "kept")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +88,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_mixing": mixing.ORACLE.format(seed=17)}
+    from tidemark.llm.oracles import ORACLES
+
+    return dict(ORACLES)
