@@ -4,7 +4,7 @@
 2. Sets that reach the threshold share one of their first ``n - ceil(t n) + 1`` tokens in any global order.  The
    order used is (frequent, hash): tokens that many documents hold among their first by hash come last.  So common
    lines and passages bring nobody together, and the order is exact whatever counts as frequent.
-3. The nodes of a token form a group; those without a neighbour of a fitting size leave it.  Signature trees over the group's bitmaps are traversed against each other and
+3. The nodes of a token form a group; groups of the same nodes are one (told by two 64-bit sums); nodes without a neighbour of a fitting size leave it.  Signature trees over the group's bitmaps are traversed against each other and
    tell which nodes have a possible partner at all.
 4. Those nodes meet in the group of their token's smallest node, now with their sets: trees are traversed again,
    possible pairs are counted exactly, and pairs already joined are skipped.  Only joining links are kept.
@@ -193,7 +193,9 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     able = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = materialise(able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "nodes")
     held = nodes.select("node", "n_shingles", F.explode("tokens").alias("token"))
-    shared = held.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader")).where("members > 1")
+    shared = held.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f2")).where("members > 1")
+    # tokens with the same members, as copies have them by the dozen, make one group
+    shared = shared.groupBy("members", "leader", "f1", "f2").agg(F.min("token").alias("token")).select("token", "members", "leader")
     # sizes alone rule most out: a node has a partner of a fitting size if one of its neighbours by size fits
     by_size = Window.partitionBy("task").orderBy("n_shingles")
     near = blocks(held, "token", "node", shared).withColumn("below", F.lag("n_shingles").over(by_size)).withColumn("above", F.lead("n_shingles").over(by_size))
