@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import append, cluster, groups, offsets, retention, scan, security, transactions, watermarks
+from tidemark.operators import append, cluster, coordinator, groups, offsets, retention, scan, security, transactions, watermarks
 from tidemark.plans.logview import LOG_SQL, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,22 @@ def q_marker_effects(spark, sf_dir):
     return transactions.marker_effects(markers).select("partition", "seq", "effect")
 
 
+@query("""SELECT 'txn-' || i AS txn_id, 1000 + i AS pid, i % 3 + 1 AS epoch, 'abort' AS action FROM range(40) t(i) WHERE i % 4 = 1 AND i * 100 + 1500 <= 3600""", log=False)
+def q_txn_timeouts(spark, sf_dir):
+    i = F.col("i")
+    states = numbers(spark, 40).select(F.concat(F.lit("txn-"), i).alias("txn_id"), (1000 + i).alias("pid"), (i % 3).alias("epoch"), F.when(i % 4 == 1, "Ongoing").otherwise("Empty").alias("state"), (i * 100).alias("started_ms"), F.lit(1500).alias("timeout_ms"))
+    return coordinator.timed_out(states, 3600)
+
+
+@query()
+def q_coordinator(spark, sf_dir):
+    i = F.col("i")
+    turn = i % 8
+    command = F.when(turn == 0, "init").when(turn.isin(1, 2), "add_partition").when(turn == 3, "add_offsets").when(turn.isin(4, 5), "commit_offset").otherwise("end")
+    rows = numbers(spark, 96).select(F.concat(F.lit("txn-"), F.floor(i / 32)).alias("txn_id"), i.alias("seq"), command.alias("command"), F.floor(i % 32 / 8).alias("epoch"), F.lit("t").alias("topic"), (i % 3).alias("partition"), i.alias("offset"), (F.floor(i / 8) % 2 == 0).alias("commit"))
+    return coordinator.coordinate(rows)
+
+
 # -- offsets --------------------------------------------------------------------------------------------------------
 
 COMMITS = """cm AS (SELECT 'group-' || (user_id % 5) AS "group", event_type AS topic, user_id % 4 AS "partition", event_id AS seq, event_id // 3 AS "offset", props AS metadata FROM events),
@@ -479,6 +495,32 @@ def q_metadata_image(spark, sf_dir):
     return cluster.image(rows)
 
 
+@query("SELECT i AS version, 'k' || i % 3 AS kind FROM range(20) t(i) WHERE (SELECT max(i) FROM range(20) t(i)) > 15", log=False)
+def q_snapshot_sync(spark, sf_dir):
+    return coordinator.newer_image(numbers(spark, 20).select(F.col("i").alias("version"), F.concat(F.lit("k"), F.col("i") % 3).alias("kind")), 15)
+
+
+@query("""SELECT 'topic-' || i AS topic, CASE WHEN i % 3 = 0 THEN i * 1000 END AS retention_ms, CASE WHEN i % 4 = 1 THEN i * 10 END AS retention_bytes, i % 2 = 0 AS tiered FROM range(12) t(i)""", log=False)
+def q_topic_configs(spark, sf_dir):
+    i = F.col("i")
+    configs = F.create_map(F.lit("retention.ms"), F.when(i % 3 == 0, (i * 1000).cast("string")).when(i % 3 == 1, "-1").otherwise(""), F.lit("retention.bytes"), F.when(i % 4 == 1, (i * 10).cast("string")), F.lit("tiered"), F.when(i % 2 == 0, "true").otherwise("false"))
+    return coordinator.topic_configs(numbers(spark, 12).select(F.concat(F.lit("topic-"), i).alias("topic"), configs.alias("configs")))
+
+
+@query(f"""WITH {PLACED}, rq AS (SELECT i, CASE WHEN i % 2 = 0 THEN 'topic-' || i % 14 END AS topic, i % 14 AS topic_id, i % 3 AS "partition" FROM range(42) t(i))
+SELECT i, coalesce(replicas[1], -1)::INT AS leader FROM rq LEFT JOIN pl ON pl.topic = 'topic-' || rq.topic_id AND pl."partition" = rq."partition" """, log=False)
+def q_routes(spark, sf_dir):
+    i = F.col("i")
+    parts = led(spark).withColumn("topic_id", F.regexp_extract("topic", "[0-9]+", 0).cast("long"))
+    wanted = numbers(spark, 42).select("i", F.when(i % 2 == 0, F.concat(F.lit("topic-"), i % 14)).alias("topic"), (i % 14).alias("topic_id"), (i % 3).alias("partition"))
+    return cluster.routes(wanted, parts).select("i", "leader")
+
+
+@query('SELECT "partition", "offset", is_control, bytes FROM log WHERE "offset" >= 200')
+def q_replica_slice(spark, sf_dir):
+    return scan.range_scan(load(spark, sf_dir), 200).select("partition", "offset", "is_control", "bytes")
+
+
 # -- groups ---------------------------------------------------------------------------------------------------------
 
 MEMBERS = f"""{TOPICS_SQL}, mb AS (SELECT 'group-' || (i % 4) AS "group", 'member-' || (i % 11) AS member, 'topic-' || (i * 5 % 12) AS topic FROM range(60) t(i)), md AS (SELECT DISTINCT * FROM mb)"""

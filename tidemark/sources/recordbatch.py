@@ -189,7 +189,7 @@ def decode_records(batch: bytes, header: Header) -> list[Record]:
 BATCHES = "path string, position long, base_offset long, batch_length int, leader_epoch int, crc long, attributes int, last_offset_delta int, first_timestamp long, max_timestamp long, producer_id long, producer_epoch int, base_sequence int, record_count int, crc_ok boolean, data binary"
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
+def read_batches(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per whole batch of the files under ``path``; a file is read by one task."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -232,3 +232,24 @@ def explode_records(batches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return batches.select("data").mapInArrow(run, RECORDS)
+
+
+def segment_files(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> list[str]:
+    """The segment files that may hold offsets of [start, end), told by the base offsets in their names; contents are
+    not read."""
+    names = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path").collect()]
+    bases = sorted((int(n.rsplit("/", 1)[1].split(".")[0]), n) for n in names)
+    return [n for (base, n), (after, _) in zip(bases, [*bases[1:], (float("inf"), "")], strict=True) if after > start and (end is None or base < end)]
+
+
+def read_range(spark: SparkSession, path: str, start: int, end: int | None = None) -> DataFrame:
+    """Records of [start, end) from one partition's folder of segments: only files that may hold them are read, and
+    of those only batches that do are decoded."""
+    files = segment_files(spark, path, start, end)
+    if not files:
+        return spark.createDataFrame([], RECORDS)
+    batches = read_batches(spark, files).where(F.col("base_offset") + F.col("last_offset_delta") >= start)
+    if end is not None:
+        batches = batches.where(F.col("base_offset") < end)
+    records = explode_records(batches.where("crc_ok")).where(F.col("offset") >= start)
+    return records if end is None else records.where(F.col("offset") < end)
