@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialise
+from tidemark.llm.scratch import bounded_sample, materialise
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: Rows that the dictionary is trained on, the bytes taken of each, and its size.
@@ -122,8 +122,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     base = base.withColumn("sha", F.sha1("payload"))
     first = base.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first_id")
     ready = base.join(first, "sha", "left").select("page_id", "url", "payload", "first_id")
-    heads = base.select(F.xxhash64("page_id", "sha").alias("h"), F.substring("payload", 1, SAMPLE_BYTES).alias("head"))
-    samples = [bytes(r["head"]) for r in heads.orderBy("h", "head").limit(DICTIONARY_ROWS).collect()]
+    heads = base.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("head"))
+    samples = [bytes(r["head"]) for r in bounded_sample(heads, DICTIONARY_ROWS, "page_id", "url").collect()]
     words = train_dictionary(samples)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
