@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.scratch import materialise, partitions_for, scratch_path
+from tidemark.llm.scratch import bounded_sample, materialise, partitions_for, scratch_path
 
 BOOKS, WORDS, BEAM = 8, 256, 6
 #: The codebooks are fitted on this many rows at most, those with the smallest hash of their id.
@@ -132,7 +132,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def build(rows: DataFrame, k: int, sample: int = SAMPLE) -> tuple[DataFrame, Books | None]:
     """The index (a row per block) of all rows and its codebooks."""
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()
+    picked = bounded_sample(rows, sample, "vec_id").select("vector").collect()
     if not picked:
         return rows.sparkSession.createDataFrame([], "ids binary, vectors binary, codes binary, norms binary"), None
     books = fit(unit(np.array([r["vector"] for r in picked])))
