@@ -68,7 +68,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     counted = joined.withColumn("__n", copies(F.col("__rate"), seed, F.col(id_col)))
     every = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     placed = every.withColumn("__place", uniform(F.lit(seed), F.col(id_col), F.lit("place"), F.col("__copy")))
-    shuffled = placed.repartitionByRange(partitions_for(df.sparkSession), "__place").sortWithinPartitions("__place")
+    n = partitions_for(df.sparkSession)  # places are uniform, so equal ranges need no sampling
+    shuffled = placed.repartitionById(n, F.floor(F.col("__place") * n).cast("int")).sortWithinPartitions("__place")
     extra = [F.col("__rate").alias("rate"), F.col("__n").alias("n_copies"), F.col("__copy").alias("copy"), F.col("__place").alias("place")] if details else []
     return shuffled.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
 
