@@ -33,22 +33,30 @@ from tidemark.llm.tokens import encoder
 MAGIC = b"TIDERP01"
 HEAD = struct.Struct("<8sIIQQQII")  # magic, first nonterminal, rounds, documents, symbols, tokens, rules, bytes a symbol
 FILE_TOKENS = 2_000_000
-ROUNDS = 5
+ROUNDS = 4
 LEAST_USES = 8
 SLOTS = 20
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
+def slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The slot of each pair in a table of ``2 ** SLOTS``: a multiplicative mix of 32-bit words."""
+    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOTS)
 
 
-def frequent_pairs(symbols: np.ndarray, inner: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the pairs to replace as 64-bit keys ascending, positions that hold one, which pair each holds)."""
-    keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    slot = slots(keys)
-    uses = np.bincount(slot[inner], minlength=1 << SLOTS)
-    places = np.flatnonzero((uses >= LEAST_USES)[slot] & inner)
-    found = keys[places]
+def pair_slots(pairs: np.ndarray) -> np.ndarray:
+    return slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+
+
+def frequent_pairs(symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the pairs to replace as 64-bit keys ascending, positions that hold one, which pair each holds).  A pair may
+    not begin at one of the positions ``ends``."""
+    slot = slots(symbols[:-1], symbols[1:])
+    slot[ends] = 1 << SLOTS  # a slot of their own, never frequent
+    uses = np.bincount(slot, minlength=(1 << SLOTS) + 1)
+    often = uses >= LEAST_USES
+    often[-1] = False
+    places = np.flatnonzero(often[slot])
+    found = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
     ordered = np.sort(found)
     edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(edges, len(ordered)))
@@ -56,12 +64,12 @@ def frequent_pairs(symbols: np.ndarray, inner: np.ndarray, most: int) -> tuple[n
     good = good[np.argsort(-sizes[good], kind="stable")[:most]]
     # a slot serves the most frequent of its pairs
     owner = np.full(1 << SLOTS, -1, np.int32)
-    own = slots(ordered[edges[good]])
+    own = pair_slots(ordered[edges[good]])
     owner[own[::-1]] = good[::-1]
     good = np.sort(good[owner[own] == good])
     pairs = ordered[edges[good]]
     owner[:] = -1
-    owner[slots(pairs)] = np.arange(len(pairs))
+    owner[pair_slots(pairs)] = np.arange(len(pairs))
     rank = owner[slot[places]]
     hit = rank >= 0
     places, rank, found = places[hit], rank[hit], found[hit]
@@ -76,7 +84,7 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        pairs, places, rank = frequent_pairs(symbols, ~last[:-1], most)
+        pairs, places, rank = frequent_pairs(symbols, np.flatnonzero(last[:-1]), most)
         if not len(pairs):
             break
         run = np.concatenate(([True], np.diff(places) != 1))

@@ -16,7 +16,7 @@ import sys
 CACHE_WORDS = 1_000_000
 #: Letters, then marks: both vocabularies split these into the letters and the run of marks.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Byte-level vocabularies write a byte that prints as itself, and the n-th of the others as chr(256 + n).
 PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in PRINTING)}
@@ -42,19 +42,25 @@ class Marks(dict):
 
 
 class Cuts(dict):
-    def __init__(self, encode, lead: str, strict: bool, heads: Cuts | None = None):
-        self.encode, self.lead, self.strict, self.heads = encode, lead, strict, self if heads is None else heads
-        self.marks: Marks = Marks(encode)
-        self.line_end = encode("\n") if strict else b""
+    """The ids of cuts that stand behind ``lead``."""
+
+    def __init__(self, tool: Encoder, lead: str, heads: Cuts | None = None):
+        self.tool, self.encode, self.lead, self.strict = tool, tool.one, lead, tool.spaced
+        self.shown = chr(SHOWN[32]) if lead else ""
+        self.heads = self if heads is None else heads
+        self.marks = Marks(tool.one)
+        self.line_end = tool.one("\n") if self.strict else b""
 
     def __missing__(self, cut: str) -> bytes:
-        if self.strict and (not cut or cut[0].isspace() or cut[-1].isspace()):
-            raise Odd
-        if self.strict and "\n" in cut:  # a lone line end between solid characters stands by itself
+        if cut.isascii() and cut.isalpha():
+            ids = self.letters(cut)
+        elif not cut or self.strict and (cut[0].isspace() or cut[-1].isspace()):
+            if self.strict:
+                raise Odd
+            ids = b""
+        elif self.strict and "\n" in cut:  # a lone line end between solid characters stands by itself
             head, *rest = cut.split("\n")
             return self[head] + b"".join(self.line_end + self.heads[x] for x in rest)
-        if not cut:
-            ids = b""
         elif (plain := PLAIN.fullmatch(cut)) and plain[2]:
             ids = self[plain[1]] + self.marks[plain[2]]
         else:
@@ -63,6 +69,19 @@ class Cuts(dict):
             self[cut] = ids
         return ids
 
+    def letters(self, word: str) -> bytes:
+        """A word of ASCII letters is one piece of either vocabulary's split."""
+        tool = self.tool
+        return little([t.id for t in tool.merge(self.shown + word if tool.spaced else word.lower())])
+
+
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit words."""
+    out = array.array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
 
 class Encoder:
     """``spaced``: a space belongs to the word behind it; otherwise white space only separates words."""
@@ -75,26 +94,19 @@ class Encoder:
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.normalise = self.tool.normalizer.normalize_str if self.tool.normalizer else str
         self.split, self.merge = self.tool.pre_tokenizer.pre_tokenize_str, self.tool.model.tokenize
-        self.spaced, self.shown_space = spaced, chr(SHOWN[32])
-        self.first = Cuts(self.one, "", spaced)
-        self.later = Cuts(self.one, " " if spaced else "", spaced, self.first)
+        self.spaced = spaced
+        self.first = Cuts(self, "")
+        self.later = Cuts(self, " " if spaced else "", self.first)
 
     def one(self, cut: str) -> bytes:
-        word = cut[1:] if cut[0] == " " else cut
-        if word.isascii() and word.isalpha():
-            ids = array.array("I", [t.id for t in self.merge(self.shown_space + word if word is not cut else word if self.spaced else word.lower())])
+        if LETTERS.fullmatch(cut):
+            pieces = [(cut if self.spaced else cut.lower()).encode().decode("latin-1").translate(SHOWN)]
         else:
-            if LETTERS.fullmatch(word):
-                pieces = [(cut if self.spaced else cut.lower()).encode().decode("latin-1").translate(SHOWN)]
-            else:
-                pieces = [piece for piece, _ in self.split(self.normalise(cut))]
-            ids = array.array("I", [t.id for piece in pieces for t in self.merge(piece)])
-        if sys.byteorder != "little":
-            ids.byteswap()
-        return ids.tobytes()
+            pieces = [piece for piece, _ in self.split(self.normalise(cut))]
+        return little([t.id for piece in pieces for t in self.merge(piece)])
 
     def whole(self, text: str) -> bytes:
-        return array.array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+        return little(self.tool.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian 32-bit words; a null text is empty."""
