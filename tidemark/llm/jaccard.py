@@ -6,7 +6,7 @@
    lines and passages bring nobody together, and the order is exact whatever counts as frequent.
 3. The nodes of a token form a group; groups of the same nodes are one (told by two 64-bit sums); nodes without a neighbour of a fitting size leave it.  Signature trees over the group's bitmaps are traversed against each other and
    tell which nodes have a possible partner at all.
-4. Those nodes meet in the group of their token's smallest node, now with their sets: trees are traversed again,
+4. Those nodes meet in the group of the smallest node that possible pairs connect them with, now with their sets: trees are traversed again,
    possible pairs are counted exactly, and pairs already joined are skipped.  Only joining links are kept.
 5. Components of the links.
 
@@ -29,11 +29,11 @@ from pyspark.sql.window import Window
 from tidemark.llm import sigtree
 from tidemark.llm.components import components
 from tidemark.llm.scratch import materialise, partitions_for
-from tidemark.llm.words import scramble, shingle_set, slices, word_hashes
+from tidemark.llm.words import distinct, scramble, shingle_set, slices, word_hashes
 
 BLOCK = 4096
 #: A token is frequent from this many documents on; more where the table of frequent tokens would pass its bound.
-FREQUENT, FREQUENT_TOKENS = 32, 1 << 19
+FREQUENT, FREQUENT_TOKENS = 4, 1 << 20
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -96,26 +96,61 @@ def runs(task: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(task)], strict=True)
 
 
+class Meetings:
+    """Which rows have a possible partner, and one label for rows that such pairs connect."""
+
+    def __init__(self, n: int):
+        self.hit, self.labels = np.zeros(n, bool), np.arange(n)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.hit[i] = self.hit[j] = True
+        a, b = self.labels[i], self.labels[j]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        new = distinct((low[low != high].astype(np.uint64) << np.uint64(32)) | high[low != high].astype(np.uint64))
+        if not len(new):
+            return
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        for x, y in zip((new >> np.uint64(32)).tolist(), (new & np.uint64(0xFFFFFFFF)).tolist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        table = np.arange(len(self.labels))
+        table[list(root)] = [find(x) for x in root]
+        self.labels = table[self.labels]
+
+    def rows(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(smallest node of the label, node) of the rows that were hit."""
+        at = np.flatnonzero(self.hit)
+        least = np.full(len(self.labels), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.labels[at], node[at])
+        return least[self.labels[at]], node[at]
+
+
 def possible(percent: int) -> Callable:
-    """Stage 3: (task, group leader, node, size, side, bitmap) -> (leader, node) of nodes with a possible partner."""
+    """Stage 3: (task, node, size, side, bitmap) -> (leader, node) of nodes with a possible partner; nodes of a
+    possible pair have the same leader, the smallest node that such pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, leader, node, size, side, raw in grouped(batches, 6):
+        for task, node, size, side, raw in grouped(batches, 5):
             task, size = np.array(task, np.int64), np.array(size, np.int64)
             maps = [np.frombuffer(x, dtype="<u8").astype(np.uint64) for x in raw]
-            hit = np.zeros(len(task), bool)
-            spans = list(runs(task))
+            found, spans = Meetings(len(task)), list(runs(task))
             small = np.concatenate([np.arange(a, b) for a, b in spans if b - a <= sigtree.SMALL and side[a] is None] or [np.zeros(0, np.int64)])
             if len(small):
                 i, j = sigtree.small_pairs(task[small], size[small], [maps[k] for k in small.tolist()], percent)
-                hit[small[i]] = hit[small[j]] = True
+                found.add(small[i], small[j])
             for a, b in spans:
                 if b - a > sigtree.SMALL or side[a] is not None:
                     own = None if side[a] is None else np.array(side[a:b])
                     for i, j in sigtree.candidates(np.arange(a, b), size[a:b], maps[a:b], own, percent):
-                        hit[i] = hit[j] = True
-            at = np.flatnonzero(hit).tolist()
-            yield pa.RecordBatch.from_pydict({"leader": pa.array([leader[k] for k in at], pa.int64()), "node": pa.array([node[k] for k in at], pa.int64())})
+                        found.add(i, j)
+            leader, member = found.rows(np.array(node, np.int64))
+            yield pa.RecordBatch.from_pydict({"leader": pa.array(leader, pa.int64()), "node": pa.array(member, pa.int64())})
 
     return run
 
@@ -195,14 +230,14 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     held = nodes.select("node", "n_shingles", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f2")).where("members > 1")
     # tokens with the same members, as copies have them by the dozen, make one group
-    shared = shared.groupBy("members", "leader", "f1", "f2").agg(F.min("token").alias("token")).select("token", "members", "leader")
+    shared = shared.groupBy("members", "leader", "f1", "f2").agg(F.min("token").alias("token")).select("token", "members")
     # sizes alone rule most out: a node has a partner of a fitting size if one of its neighbours by size fits
     by_size = Window.partitionBy("task").orderBy("n_shingles")
     near = blocks(held, "token", "node", shared).withColumn("below", F.lag("n_shingles").over(by_size)).withColumn("above", F.lead("n_shingles").over(by_size))
-    near = near.where((100 * F.col("below") >= percent * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.col("above"))).select("task", "leader", "node", "side")
+    near = near.where((100 * F.col("below") >= percent * F.col("n_shingles")) | (100 * F.col("n_shingles") >= percent * F.col("above"))).select("task", "node", "side")
     rows = near.join(nodes.select("node", "n_shingles", "bits"), "node")
     n = partitions_for(spark)
-    ready = rows.select("task", "leader", "node", "n_shingles", "side", "bits").repartition(n, "task").sortWithinPartitions("task")
+    ready = rows.select("task", "node", "n_shingles", "side", "bits").repartition(n, "task").sortWithinPartitions("task")
     meeting = materialise(ready.mapInArrow(possible(percent), "leader long, node long").distinct(), "meeting")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

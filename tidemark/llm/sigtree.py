@@ -14,7 +14,7 @@ import numpy as np
 
 FANOUT = 8
 CHUNK = 1 << 15
-BITS_A_TOKEN = 4
+BITS_A_TOKEN = 2
 #: Groups up to this size are compared at the leaves.
 SMALL = 32
 
