@@ -4,7 +4,7 @@
 2. Sets that reach the threshold share one of their first ``n - ceil(t n) + 1`` tokens in any global order.  The
    order used is (frequent, hash): tokens that many documents hold among their first by hash come last.  So common
    lines and passages bring nobody together, and the order is exact whatever counts as frequent.
-3. The nodes of a token form a group; groups of the same nodes are one (told by two 64-bit sums); nodes without a neighbour of a fitting size leave it.  Signature trees over the group's bitmaps are traversed against each other and
+3. The nodes of a token form a group; groups of the same nodes are one (told by size, first node and a 64-bit sum); nodes without a neighbour of a fitting size leave it.  Signature trees over the group's bitmaps are traversed against each other and
    tell which nodes have a possible partner at all.
 4. Those nodes meet in the group of the smallest node that possible pairs connect them with, now with their sets: trees are traversed again,
    possible pairs are counted exactly, and pairs already joined are skipped.  Only joining links are kept.
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import sigtree
 from tidemark.llm.components import components
-from tidemark.llm.scratch import materialise, partitions_for
+from tidemark.llm.scratch import materialise, partitions_for, release
 from tidemark.llm.words import distinct, scramble, shingle_set, slices, word_hashes
 
 BLOCK = 4096
@@ -203,6 +203,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
 
     counts = texts.select("raw").mapInArrow(keys, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
     counts = materialise(counts, "frequent")
+    release(spark)
     least = FREQUENT
     while counts.where(F.col("count") >= least).count() > FREQUENT_TOKENS:
         least *= 2
@@ -227,10 +228,12 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     described = materialise(texts.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>, bits binary"), "shingles")
     able = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = materialise(able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "nodes")
+    members = materialise(described.select("doc_id", "n_shingles", "d1", "d2"), "members")
+    release(spark, described)
     held = nodes.select("node", "n_shingles", F.explode("tokens").alias("token"))
-    shared = held.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("f1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("f2")).where("members > 1")
+    shared = held.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("sum")).where("members > 1")
     # tokens with the same members, as copies have them by the dozen, make one group
-    shared = shared.groupBy("members", "leader", "f1", "f2").agg(F.min("token").alias("token")).select("token", "members")
+    shared = shared.groupBy("members", "leader", "sum").agg(F.min("token").alias("token")).select("token", "members")
     # sizes alone rule most out: a node has a partner of a fitting size if one of its neighbours by size fits
     by_size = Window.partitionBy("task").orderBy("n_shingles")
     near = blocks(held, "token", "node", shared).withColumn("below", F.lag("n_shingles").over(by_size)).withColumn("above", F.lead("n_shingles").over(by_size))
@@ -239,6 +242,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     n = partitions_for(spark)
     ready = rows.select("task", "node", "n_shingles", "side", "bits").repartition(n, "task").sortWithinPartitions("task")
     meeting = materialise(ready.mapInArrow(possible(percent), "leader long, node long").distinct(), "meeting")
+    release(spark)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in each_set(batches, words):
@@ -250,7 +254,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     links = tasks.select("task", "node", "side", "tokens").repartition(n, "task").sortWithinPartitions("task").mapInArrow(joined(percent), "a long, b long")
     found = components(links, "a", "b")
     named = nodes.select("n_shingles", "d1", "d2", "node").join(found, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    return described.drop("tokens", "bits").join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return members.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
