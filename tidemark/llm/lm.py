@@ -4,8 +4,8 @@
 frequency c(u) (one for each doubling).  The weights of a bucket are learned by expectation-maximisation on held-out
 counts: every training token is held out in turn, so its own occurrence is deleted from the counts that predict it.
 
-Counting works on blocks of texts.  A block sends its distinct keys (64-bit hashes of words and word pairs, sorted,
-as differences) with their training counts to the parts of the key space; a part adds them up and answers each
+Counting works on blocks of texts.  A block sends its distinct keys (hashes of words, 64 bits, and of word pairs, 56 bits, sorted, as
+differences) with their training counts to the parts of the key space; a part adds them up and answers each
 block in its own order.  So a frequent word costs one entry a block, and no task holds more than its block or part.
 The joint counts of a block's tokens are then at hand; their histogram (a bounded table of quarter-octave cells)
 feeds the EM, and the scores follow in one more pass.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import materialise, partitions_for, release
-from tidemark.llm.words import ODD, distinct, scramble, slices, word_hashes
+from tidemark.llm.words import MASK, ODD, distinct, scramble, slices, word_hashes
 
 BLOCK_BYTES = 8 << 20
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
@@ -78,7 +78,8 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_keys(contexts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return scramble(contexts * np.uint64(ODD[0]) + tokens * np.uint64(ODD[1]))
+    """Hashes of word pairs, of which 56 bits are kept: what a block sends is mostly their differences."""
+    return scramble(contexts * np.uint64(ODD[0]) + tokens * np.uint64(ODD[1])) & np.uint64(MASK << 8 & MASK)
 
 
 def counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         part, number, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"block": [(part << 24) + number], "ids": [ids], "lengths": [[len(t) for t in texts]], "payload": [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"block": [(part << 24) + number], "ids": [ids], "lengths": [[len(t) for t in texts]], "payload": [zstandard.ZstdCompressor(level=4).compress(b"".join(texts))]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
