@@ -4,9 +4,9 @@
 frequency c(u) (one for each doubling).  The weights of a bucket are learned by expectation-maximisation on held-out
 counts: every training token is held out in turn, so its own occurrence is deleted from the counts that predict it.
 
-Counting works on blocks of texts.  A block sends its distinct keys (hashes of words, 64 bits, and of word pairs, 56 bits, sorted, as
-differences) with their training counts to the parts of the key space; a part adds them up and answers each
-block in its own order.  So a frequent word costs one entry a block, and no task holds more than its block or part.
+Counting works on blocks of texts.  A block sends its distinct keys (hashes of words, 64 bits, and of word pairs, 56
+bits, sorted, as differences) with their training counts to the parts of the key space; a part adds them up and
+answers each block in its own order.  So a frequent word costs one entry a block, and no task holds more than its block or part.
 The joint counts of a block's tokens are then at hand; their histogram (a bounded table of quarter-octave cells)
 feeds the EM, and the scores follow in one more pass.
 
