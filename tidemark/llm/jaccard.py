@@ -32,6 +32,8 @@ from tidemark.llm.scratch import materialise, partitions_for, release
 from tidemark.llm.words import distinct, scramble, shingle_set, slices, word_hashes
 
 BLOCK = 4096
+#: Texts whose sets a task holds at a time.
+ROWS = 1000
 #: A token is frequent from this many documents on; more where the table of frequent tokens would pass its bound.
 FREQUENT, FREQUENT_TOKENS = 4, 1 << 20
 
@@ -41,8 +43,8 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def each_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches with the shingle sets of their last column's texts."""
-    for batch in batches:
+    """Batches, cut small, with the shingle sets of their last column's texts."""
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         texts = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
         found: list[np.ndarray] = []
         for first, end, data, offsets in slices(texts):
