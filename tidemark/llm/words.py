@@ -17,7 +17,7 @@ SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 VALUES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 LOWERED = VALUES.copy()
 LOWERED[65:91] = VALUES[97:123]
-STEP = 1 << 21
+STEP = 1 << 19
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 _powers: dict[str, np.ndarray] = {}
