@@ -227,12 +227,12 @@ def test_mix_follows_targets(spark):
 
 def test_poisson(spark):
     rate = 3.7
-    got = Counter(r[0] for r in spark.range(20_000).select(mixing.copies(F.lit(rate), 1, F.col("id"))).collect())
+    got = Counter(r[0] for r in spark.range(20_000).select(mixing.copies(mixing.distribution(F.lit(rate)), F.lit(1), 1, F.col("id"))).collect())
     import math
 
     for k in range(9):
         assert abs(got[k] / 20_000 - math.exp(-rate) * rate**k / math.factorial(k)) < 0.012
-    many = [r[0] for r in spark.range(2000).select(mixing.copies(F.lit(100.0), 1, F.col("id"))).collect()]
+    many = [r[0] for r in spark.range(2000).select(mixing.copies(mixing.distribution(F.lit(100.0) / 7), F.lit(7), 1, F.col("id"))).collect()]
     assert abs(np.mean(many) - 100) < 1.5 and abs(np.var(many) - 100) < 15
 
 

@@ -31,20 +31,30 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
-def poisson(rate: Column, u: Column) -> Column:
-    """The smallest k whose distribution function reaches ``u``."""
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("f"), F.lit(0).alias("k"))
+def distribution(rate: Column) -> Column:
+    """The distribution function at 0, 1, ..., TERMS - 1."""
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("f"), F.array(F.exp(-rate)).alias("all"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * rate / i
-        return F.when(s["f"] >= u, s).otherwise(F.struct(p.alias("p"), (s["f"] + p).alias("f"), i.cast("int").alias("k")))
+        return F.struct(p.alias("p"), (s["f"] + p).alias("f"), F.array_append(s["all"], s["f"] + p).alias("all"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step, lambda s: s["all"])
 
 
-def copies(rate: Column, seed: int, key: Column) -> Column:
-    draws = F.greatest(F.ceil(rate / F.lit(LARGEST)).cast("int"), F.lit(1))
-    return F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda s, i: s + poisson(rate / draws, uniform(F.lit(seed), key, i)))
+def draws_of(rate: Column) -> Column:
+    return F.greatest(F.ceil(rate / F.lit(LARGEST)).cast("int"), F.lit(1))
+
+
+def copies(table: Column, draws: Column, seed: int, key: Column) -> Column:
+    """The inverse of a distribution (``table``, for an equal part of the rate) at a row's numbers, summed over its
+    draws: the smallest k whose function reaches the number is how many terms lie below it."""
+
+    def below(i: Column) -> Column:
+        u = uniform(F.lit(seed), key, i)
+        return F.size(F.filter(table, lambda f: f < u))
+
+    return F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda s, i: s + below(i))
 
 
 def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -63,9 +73,10 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, floa
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, seed: int = 17, details: bool = False) -> DataFrame:
     """The mixture: the columns of ``df``, a row per copy, in shuffled order.  ``details`` adds rate, n_copies, copy
     and place (the number the order follows)."""
-    table = rates(df, source_col, text_col, weights).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    drawn = rates(df, source_col, text_col, weights).withColumn("draws", draws_of(F.col("rate")))
+    table = drawn.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), distribution(F.col("rate") / F.col("draws")).alias("__table"))
     joined = df.join(table, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
-    counted = joined.withColumn("__n", copies(F.col("__rate"), seed, F.col(id_col)))
+    counted = joined.withColumn("__n", copies(F.col("__table"), F.col("__draws"), seed, F.col(id_col)))
     every = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     placed = every.withColumn("__place", uniform(F.lit(seed), F.col(id_col), F.lit("place"), F.col("__copy")))
     n = partitions_for(df.sparkSession)  # places are uniform, so equal ranges need no sampling
