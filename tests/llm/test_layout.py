@@ -160,6 +160,25 @@ def test_token_file_compresses_and_checks():
         tokenfile.TokenFile(content[:-1])
 
 
+def test_token_file_replaces_every_repeat():
+    rng = np.random.default_rng(5)
+    fresh = rng.integers(0, 60_000, 40_000)  # twice: tens of thousands of pairs, each of two uses only
+    phrase = rng.integers(0, 60_000, 1_000)  # a repeat of ten levels
+    rare = [np.array([7, 7, 7, 7, 7, 9] * k) for k in range(1, 6)]
+    docs_ = [fresh, phrase, fresh, *[np.concatenate((rng.integers(0, 60_000, 3), phrase)) for _ in range(30)], *rare, np.arange(59_000, 60_000), np.arange(59_000, 60_000)]
+    file = tokenfile.TokenFile(tokenfile.write_file([(i, np.asarray(d, dtype="<u4").tobytes()) for i, d in enumerate(docs_)]))
+    uses = Counter()
+    for i, d in enumerate(docs_):
+        assert file.document(i).tolist() == list(d)
+        own = file.symbols[file.first[i] : file.first[i + 1]].tolist()
+        end = {}
+        for at, pair in enumerate(zip(own, own[1:])):
+            if end.get(pair, -1) < at:
+                uses[pair] += 1
+                end[pair] = at + 1
+    assert max(uses.values()) == 1
+
+
 def test_token_files(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(5000, None), (5001, "word " * 30_000)]
     df = docs(spark, rows).withColumnRenamed("lang", "part")

@@ -1,12 +1,13 @@
 """Token-id files compressed by Re-Pair.
 
-A file holds a run of documents: a header, the rules, the length that each rule expands to, a table of documents
-(id, symbols, tokens) and the symbols.  Rules replace pairs inside a document only, so any document - and, by the
-expansion lengths, any stretch of its tokens - can be decoded from its own symbols.
+A file holds a run of documents: a header, the rules, a table of documents (id, symbols, tokens) and the symbols.
+Rules replace pairs inside a document only, so any document - and, by the lengths that the rules expand to, any
+stretch of its tokens - can be decoded from its own symbols.
 
-Re-Pair works in rounds over the arrays of one file: all pairs are counted, the frequent ones get nonterminals, and
-their occurrences are replaced from left to right.  A round's rules name only ids and nonterminals of earlier
-rounds, so decoding undoes the rounds one after another.
+Re-Pair works in rounds over the symbols of one file: all pairs are counted exactly, those used twice or more compete
+for the places where they overlap, and the winners become nonterminals.  Rounds go on until no pair is used twice
+without overlap, whatever the number of rules; symbols and rules take as many bits as the largest symbol needs.  A
+round's rules name only ids and nonterminals of earlier rounds.
 
 Spark's writers carry the files as rows of a Parquet table in the shared folder.  Documents are cut into ranges of
 ascending doc_id by quantiles; a task writes the files of its range, and each file knows how many tokens its task
@@ -30,105 +31,135 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import materialise, partitions_for
 from tidemark.llm.tokens import encoder
 
-MAGIC = b"TIDERP01"
-HEAD = struct.Struct("<8sIIQQQII")  # magic, first nonterminal, rounds, documents, symbols, tokens, rules, bytes a symbol
+MAGIC = b"TIDERP02"
+HEAD = struct.Struct("<8sIIQQQII")  # magic, first nonterminal, rounds, documents, symbols, tokens, rules, bits a symbol
+#: Marks a position whose symbol went into a rule.
+NONE = np.uint32(0xFFFFFFFF)
 FILE_TOKENS = 2_000_000
-ROUNDS = 4
-LEAST_USES = 8
-SLOTS = 20
-
-
-def slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The slot of each pair in a table of ``2 ** SLOTS``: a multiplicative mix of 32-bit words."""
-    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - SLOTS)
-
-
-def pair_slots(pairs: np.ndarray) -> np.ndarray:
-    return slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
-
-
-def frequent_pairs(symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the pairs to replace as 64-bit keys ascending, positions that hold one, which pair each holds).  A pair may
-    not begin at one of the positions ``ends``."""
-    slot = slots(symbols[:-1], symbols[1:])
-    slot[ends] = 1 << SLOTS  # a slot of their own, never frequent
-    uses = np.bincount(slot, minlength=(1 << SLOTS) + 1)
-    often = uses >= LEAST_USES
-    often[-1] = False
-    places = np.flatnonzero(often[slot])
-    found = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
-    ordered = np.sort(found)
-    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(edges, len(ordered)))
-    good = np.flatnonzero(sizes >= LEAST_USES)
-    good = good[np.argsort(-sizes[good], kind="stable")[:most]]
-    # a slot serves the most frequent of its pairs
-    owner = np.full(1 << SLOTS, -1, np.int32)
-    own = pair_slots(ordered[edges[good]])
-    owner[own[::-1]] = good[::-1]
-    good = np.sort(good[owner[own] == good])
-    pairs = ordered[edges[good]]
-    owner[:] = -1
-    owner[pair_slots(pairs)] = np.arange(len(pairs))
-    rank = owner[slot[places]]
-    hit = rank >= 0
-    places, rank, found = places[hit], rank[hit], found[hit]
-    hit = pairs[rank] == found
-    return pairs, places[hit], rank[hit]
+#: A rule takes the place of two symbols in the file, so a pair pays from its second use on.
+LEAST_USES = 2
+
+
+def groups_of(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, at_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct pairs as 64-bit keys ascending, how often each occurs, the positions ``at`` in order of pairs)."""
+    left, right = left.astype(np.uint64), right.astype(np.uint64)
+    if 2 * bits + at_bits <= 64:  # one sort of pair and position together
+        keys = (((left << np.uint64(bits)) | right) << np.uint64(at_bits)) | at.astype(np.uint64)
+        keys.sort()
+        at = (keys & np.uint64((1 << at_bits) - 1)).astype(np.int32)
+        keys >>= np.uint64(at_bits)
+    else:
+        bits = 32
+        keys = (left << np.uint64(32)) | right
+        order = np.argsort(keys)
+        keys, at = keys[order], at[order]
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    first = keys[edges]
+    pairs = ((first >> np.uint64(bits)) << np.uint64(32)) | (first & np.uint64((1 << bits) - 1))
+    return pairs, np.diff(np.append(edges, len(keys))), at
 
 
 def repair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(symbols, last marks, rules of each round).  ``last`` marks the last symbol of each document."""
+    """(symbols, last marks, rules of each round).  ``last`` marks the last symbol of each document.
+
+    Documents are linked lists, so a round's work follows the positions that may still hold a pair used twice: those
+    that held one in the round before, and the neighbours of new symbols."""
+    n = len(symbols)
+    symbols = symbols.copy()
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # n: no neighbour
+    after[last] = n
+    before[np.flatnonzero(last) + 1] = before[0] = n
+    weight = np.zeros(n + 1, np.uint32)
+    live = np.flatnonzero(after != n).astype(np.int32)
     rounds: list[np.ndarray] = []
-    most = max(256, ((1 << 16) - base) // ROUNDS)  # symbols of two bytes, where the vocabulary leaves room
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pairs, places, rank = frequent_pairs(symbols, np.flatnonzero(last[:-1]), most)
+    while len(live):
+        left, right = symbols[live], symbols[after[live]]
+        # in a run of one symbol every other position can begin a pair
+        twin = np.flatnonzero(left == right)
+        run = np.concatenate(([True], after[live[twin[:-1]]] != live[twin[1:]]))[: len(twin)]
+        odd = twin[(np.arange(len(twin)) - np.maximum.accumulate(np.where(run, np.arange(len(twin)), 0))) % 2 == 1]
+        skipped = live[odd]
+        begins = np.ones(len(live), bool)
+        begins[odd] = False
+        pairs, uses, at = groups_of(left[begins], right[begins], live[begins], (base - 1).bit_length(), n.bit_length())
+        often = uses >= LEAST_USES
+        at, pairs, uses = at[np.repeat(often, uses)], pairs[often], uses[often]
         if not len(pairs):
             break
-        run = np.concatenate(([True], np.diff(places) != 1))
-        odd = (places - places[np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))]) % 2
-        places, rank = places[odd == 0], rank[odd == 0]
-        symbols, last = symbols.copy(), last.copy()
-        symbols[places] = base + rank.astype(np.uint32)
-        last[places] = last[places + 1]
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[places + 1] = False
-        symbols, last = symbols[keep], last[keep]
-        rounds.append(pairs)
-        base += len(pairs)
-        if len(places) < 0.02 * len(symbols):
-            break
-    return symbols, last, rounds
-
-
-def expand(symbols: np.ndarray, base: int, rounds: list[np.ndarray]) -> np.ndarray:
-    """Undo the rounds, the last first."""
-    low = base + sum(len(r) for r in rounds)
-    for pairs in reversed(rounds):
-        low -= len(pairs)
-        rule = symbols >= low
-        if not rule.any():
-            continue
-        at = np.arange(len(symbols)) + np.concatenate(([0], np.cumsum(rule)[:-1]))
-        out = np.empty(len(symbols) + int(rule.sum()), dtype=np.uint32)
-        which = pairs[symbols[rule] - low]
-        out[at[~rule]] = symbols[~rule]
-        out[at[rule]] = (which >> np.uint64(32)).astype(np.uint32)
-        out[at[rule] + 1] = (which & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        symbols = out
-    return symbols
-
-
-def lengths_of(base: int, rounds: list[np.ndarray]) -> np.ndarray:
-    """Tokens that each nonterminal expands to."""
-    sizes = np.ones(base + sum(len(r) for r in rounds), dtype=np.uint32)
+        which = np.repeat(np.arange(len(pairs)), uses)
+        # of overlapping pairs the more frequent wins, by powers of two; a bijective mix orders the others
+        mix = (np.arange(len(pairs), dtype=np.uint64) * np.uint64(0x9E3779B1)) & np.uint64((1 << 27) - 1)
+        own = ((np.frexp(uses)[1].astype(np.uint32) << np.uint32(27)) | mix.astype(np.uint32))[which]
+        weight[at] = own
+        wins = (weight[before[at]] < own) & (weight[after[at]] < own)
+        weight[at] = 0
+        used = np.bincount(which[wins], minlength=len(pairs)) >= LEAST_USES
+        wins &= used[which]
+        rank = np.cumsum(used) - 1
+        hit = at[wins]
+        gone = after[hit]
+        behind = after[gone]
+        symbols[hit] = (base + rank[which[wins]]).astype(np.uint32)
+        after[gone] = n
+        symbols[gone] = NONE
+        after[hit] = behind
+        before[behind] = hit
+        marked = np.zeros(n + 1, bool)
+        marked[at] = marked[skipped] = marked[before[hit]] = True
+        marked[:n] &= after != n
+        live = np.flatnonzero(marked[:n]).astype(np.int32)
+        rounds.append(pairs[used])
+        base += len(rounds[-1])
+    stays = symbols != NONE
+    return symbols[stays], after[stays] == n, rounds
+
+
+def sizes_of(base: int, rounds: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each symbol expands to."""
+    sizes = np.ones(base + sum(len(r) for r in rounds), dtype=np.int64)
     at = base
     for pairs in rounds:
         sizes[at : at + len(pairs)] = sizes[pairs >> np.uint64(32)] + sizes[pairs & np.uint64(0xFFFFFFFF)]
         at += len(pairs)
-    return sizes[base:]
+    return sizes
+
+
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Every symbol's tokens, each written to its place."""
+    ends = np.cumsum(sizes[symbols])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+    at = ends - sizes[symbols]
+    while len(symbols):
+        token = symbols < base
+        out[at[token]] = symbols[token]
+        which, at = rules[symbols[~token] - base], at[~token]
+        left = (which >> np.uint64(32)).astype(np.uint32)
+        symbols = np.concatenate((left, (which & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+        at = np.concatenate((at, at + sizes[left]))
+    return out
+
+
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Whole bytes of each value first, then the bits above them."""
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
+    whole, rest = divmod(bits, 8)
+    high = np.packbits(np.unpackbits(raw[:, whole : whole + 1], axis=1)[:, 8 - rest :]).tobytes() if rest else b""
+    return raw[:, :whole].tobytes() + high
+
+
+def unpacked(content: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """(values, where the next field begins)."""
+    whole, rest = divmod(bits, 8)
+    raw = np.zeros((n, 4), np.uint8)
+    raw[:, :whole] = np.frombuffer(content, np.uint8, n * whole, at).reshape(n, whole)
+    at += n * whole
+    if rest:
+        high = np.frombuffer(content, np.uint8, -(-n * rest // 8), at)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, 8 - rest :] = np.unpackbits(high, count=n * rest).reshape(n, rest)
+        raw[:, whole] = np.packbits(wide, axis=1)[:, 0]
+        at += len(high)
+    return raw.view("<u4")[:, 0].astype(np.uint32), at
 
 
 def write_file(docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -140,18 +171,17 @@ def write_file(docs: list[tuple[int | None, bytes]]) -> bytes:
     base = int(ids.max(initial=0)) + 1
     symbols, marks, rounds = repair(ids, last, base)
     per_doc = np.diff(np.concatenate(([-1], np.flatnonzero(marks)))).astype("<u4")
-    wide = base + sum(len(r) for r in rounds) > 1 << 16
+    bits = (base + sum(len(r) for r in rounds) - 1).bit_length()
     rules = np.concatenate(rounds) if rounds else np.zeros(0, np.uint64)
     body = b"".join([
-        HEAD.pack(MAGIC, base, len(rounds), len(docs), len(symbols), len(ids), len(rules), 4 if wide else 2),
+        HEAD.pack(MAGIC, base, len(rounds), len(docs), len(symbols), len(ids), len(rules), bits),
         np.array([len(r) for r in rounds], dtype="<u4").tobytes(),
-        rules.astype("<u8").tobytes(),
-        lengths_of(base, rounds).astype("<u4").tobytes(),
+        packed(np.concatenate((rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF))), bits),
         np.array([i is None for i, _ in docs], dtype=np.uint8).tobytes(),
         np.array([i or 0 for i, _ in docs], dtype="<i8").tobytes(),
         per_doc.tobytes(),
         tokens.astype("<u4").tobytes(),
-        symbols.astype("<u4" if wide else "<u2").tobytes(),
+        packed(symbols, bits),
     ])
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -162,7 +192,7 @@ class TokenFile:
     def __init__(self, content: bytes):
         if len(content) < HEAD.size + 4 or zlib.crc32(content[:-4]) != struct.unpack("<I", content[-4:])[0]:
             raise ValueError("the file's checksum differs")
-        magic, self.base, n_rounds, n_docs, n_symbols, self.n_tokens, n_rules, width = HEAD.unpack_from(content)
+        magic, self.base, n_rounds, n_docs, n_symbols, self.n_tokens, n_rules, bits = HEAD.unpack_from(content)
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.at = HEAD.size
@@ -173,28 +203,28 @@ class TokenFile:
             return found
 
         cuts = np.cumsum(take("<u4", n_rounds).astype(np.int64))[:-1]
-        self.rounds = np.split(take("<u8", n_rules).astype(np.uint64), cuts) if n_rounds else []
-        self.lengths = take("<u4", n_rules)
+        sides, self.at = unpacked(content, self.at, 2 * n_rules, bits)
+        self.rules = (sides[:n_rules].astype(np.uint64) << np.uint64(32)) | sides[n_rules:]
+        self.sizes = sizes_of(self.base, np.split(self.rules, cuts))
         nulls, ids = take("u1", n_docs), take("<i8", n_docs)
         self.doc_ids = [None if n else int(i) for n, i in zip(nulls, ids, strict=True)]
         self.first = np.concatenate(([0], np.cumsum(take("<u4", n_docs).astype(np.int64))))
         self.tokens = take("<u4", n_docs).astype(np.int64)
-        self.symbols = take("<u4" if width == 4 else "<u2", n_symbols).astype(np.uint32)
+        self.symbols, self.at = unpacked(content, self.at, n_symbols, bits)
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[self.first[i] : self.first[i + 1]], self.base, self.rounds)
+        return expand(self.symbols[self.first[i] : self.first[i + 1]], self.base, self.rules, self.sizes)
 
     def stretch(self, i: int, start: int, end: int) -> np.ndarray:
         """Tokens ``start`` to ``end`` of document ``i``: only the symbols that cover them are expanded."""
         own = self.symbols[self.first[i] : self.first[i + 1]]
-        sizes = np.where(own < self.base, 1, self.lengths[np.maximum(own, self.base) - self.base] if len(self.lengths) else 1).astype(np.int64)
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(self.sizes[own])
         a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, end, side="left")) + 1
         skipped = int(ends[a - 1]) if a else 0
-        return expand(own[a:b], self.base, self.rounds)[start - skipped : end - skipped]
+        return expand(own[a:b], self.base, self.rules, self.sizes)[start - skipped : end - skipped]
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.symbols, self.base, self.rounds)
+        return expand(self.symbols, self.base, self.rules, self.sizes)
 
 
 def write_files(df: DataFrame, vocabulary: str, spaced: bool = True, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
