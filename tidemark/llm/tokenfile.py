@@ -46,7 +46,7 @@ def groups_of(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, at
     if 2 * bits + at_bits <= 64:  # one sort of pair and position together
         keys = (((left << np.uint64(bits)) | right) << np.uint64(at_bits)) | at.astype(np.uint64)
         keys.sort()
-        at = (keys & np.uint64((1 << at_bits) - 1)).astype(np.int32)
+        at = (keys & np.uint64((1 << at_bits) - 1)).astype(np.int64)
         keys >>= np.uint64(at_bits)
     else:
         bits = 32
@@ -66,11 +66,11 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray
     that held one in the round before, and the neighbours of new symbols."""
     n = len(symbols)
     symbols = symbols.copy()
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # n: no neighbour
+    after, before = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n, dtype=np.int64)  # n: no neighbour
     after[last] = n
     before[np.flatnonzero(last) + 1] = before[0] = n
-    weight = np.zeros(n + 1, np.uint32)
-    live = np.flatnonzero(after != n).astype(np.int32)
+    weight, slot = np.zeros(n + 1, np.uint32), np.zeros(n + 1, np.int64)
+    live = np.flatnonzero(after != n).astype(np.int64)
     rounds: list[np.ndarray] = []
     while len(live):
         left, right = symbols[live], symbols[after[live]]
@@ -86,29 +86,31 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray
         at, pairs, uses = at[np.repeat(often, uses)], pairs[often], uses[often]
         if not len(pairs):
             break
-        which = np.repeat(np.arange(len(pairs)), uses)
+        slot[at] = np.repeat(np.arange(1, len(pairs) + 1, dtype=np.int64), uses)
+        which = slot[live]  # in order of positions from here on; 0: none
+        slot[live] = 0
         # of overlapping pairs the more frequent wins, by powers of two; a bijective mix orders the others
         mix = (np.arange(len(pairs), dtype=np.uint64) * np.uint64(0x9E3779B1)) & np.uint64((1 << 27) - 1)
-        own = ((np.frexp(uses)[1].astype(np.uint32) << np.uint32(27)) | mix.astype(np.uint32))[which]
-        weight[at] = own
-        wins = (weight[before[at]] < own) & (weight[after[at]] < own)
-        weight[at] = 0
-        used = np.bincount(which[wins], minlength=len(pairs)) >= LEAST_USES
+        own = np.concatenate(([np.uint32(0)], (np.frexp(uses)[1].astype(np.uint32) << np.uint32(27)) | mix.astype(np.uint32)))[which]
+        weight[live] = own
+        wins = (weight[before[live]] < own) & (weight[after[live]] < own)
+        weight[live] = 0
+        used = np.bincount(which[wins], minlength=len(pairs) + 1) >= LEAST_USES
         wins &= used[which]
-        rank = np.cumsum(used) - 1
-        hit = at[wins]
+        rank = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
+        hit = live[wins]
         gone = after[hit]
         behind = after[gone]
-        symbols[hit] = (base + rank[which[wins]]).astype(np.uint32)
+        symbols[hit] = np.uint32(base) + rank[which[wins]]
         after[gone] = n
         symbols[gone] = NONE
         after[hit] = behind
         before[behind] = hit
         marked = np.zeros(n + 1, bool)
-        marked[at] = marked[skipped] = marked[before[hit]] = True
+        marked[live[which > 0]] = marked[skipped] = marked[before[hit]] = True
         marked[:n] &= after != n
-        live = np.flatnonzero(marked[:n]).astype(np.int32)
-        rounds.append(pairs[used])
+        live = np.flatnonzero(marked[:n]).astype(np.int64)
+        rounds.append(pairs[used[1:]])
         base += len(rounds[-1])
     stays = symbols != NONE
     return symbols[stays], after[stays] == n, rounds
