@@ -78,6 +78,24 @@ def test_edges(spark):
     assert jaccard.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block, few, words", [(4096, 8, 1 << 22), (7, 1, 1 << 22), (4096, 8, 0)])
+def test_every_link_is_counted(spark, monkeypatch, block, few, words):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "TASK_WORDS", words)
+    rng = random.Random(4)
+    texts = near_copies(rng, 70, 60, 6) + near_copies(rng, 30, 200, 25) + ["a b c"] * 4 + ["", None]
+    rows = list(enumerate(texts)) + [(None, "a b c"), (2, texts[3])]
+    sets = [shingles(t, 3) for _, t in rows]
+    want = sorted(((i, None if i is None else sum(j is not None and bool(x) and 100 * len(x & y) >= 90 * len(x | y) for (j, _), y in zip(rows, sets)) - bool(x)) for (i, _), x in zip(rows, sets)), key=str)
+    got = jaccard.classes(docs(spark, rows), 3, 90, links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == want
+    unique = {r.doc_id: r.component_id for r in got if r.doc_id not in (None, 2)}
+    # the other row of id 2 names the class of 3
+    assert unique == {i: 2 if c == 3 else c for i, (_, c) in brute(list(enumerate(texts)), 3, 90).items() if i != 2}
+    assert sum(n or 0 for _, n in want) > 2 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]

@@ -8,6 +8,8 @@
    tell which nodes have a possible partner at all.
 4. Those nodes meet in the group of the smallest node that possible pairs connect them with, now with their sets: trees are traversed again,
    possible pairs are counted exactly, and pairs already joined are skipped.  Only joining links are kept.
+   With ``links``, every possible pair is counted instead, in the smallest group where it meets; tasks send how many
+   links each node has, and what joins them, not the pairs, whose number grows with the square of a group.
 5. Components of the links.
 
 Groups beyond ``BLOCK`` nodes are dealt into blocks, and each pair of blocks is a group of its own.
@@ -36,6 +38,8 @@ BLOCK = 4096
 ROWS = 1000
 #: A token is frequent from this many documents on; more where the table of frequent tokens would pass its bound.
 FREQUENT, FREQUENT_TOKENS = 4, 1 << 20
+#: Tasks beyond FEW nodes count pairs on bits, if those take no more than TASK_WORDS; PAIR_WORDS are compared at a time.
+FEW, TASK_WORDS, PAIR_WORDS = 8, 1 << 22, 1 << 20
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -193,9 +197,80 @@ def joined(percent: int) -> Callable:
     return run
 
 
-def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def bit_rows(keys: list[np.ndarray], most: int) -> np.ndarray | None:
+    """A bit for each key that two rows or more hold (keys of a row are distinct); none beyond ``most`` words."""
+    _, index, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    twice = counts >= 2
+    words = int(twice.sum()) // 64 + 1
+    if words * len(keys) > most:
+        return None
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[held := twice[index]]
+    bit = (np.cumsum(twice) - 1)[index[held]]
+    out = np.zeros(len(keys) * words, np.uint64)
+    np.bitwise_or.at(out, row * words + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out.reshape(len(keys), words)
+
+
+def in_common(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    step = max(1, PAIR_WORDS // bits.shape[1])
+    parts = [np.bitwise_count(bits[i[at : at + step]] & bits[j[at : at + step]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), step)]
+    return np.concatenate(parts or [np.zeros(0, np.int64)])
+
+
+def counted(percent: int) -> Callable:
+    """Stage 4 with links: (task, node, side, set, leader, leaders, copies) -> (a, b, n): node b is joined with a and
+    has n links here, copies counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, node, side, raw, leader, leaders, copies in grouped(batches, 7):
+            sets = [np.frombuffer(x, dtype="<u8").astype(np.uint64) for x in raw]
+            sizes, weights = np.array([len(s) for s in sets], np.int64), np.array(copies, np.int64)
+            found, totals = Meetings(len(sets)), np.zeros(len(sets), np.int64)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def flush(least: int, found: Meetings = found, totals: np.ndarray = totals, weights: np.ndarray = weights, held: list = held) -> None:
+                if sum(len(i) for i, _ in held) <= least:
+                    return
+                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                np.add.at(totals, i, weights[j])
+                np.add.at(totals, j, weights[i])
+                found.add(i, j)
+
+            for a, b in runs(np.array(task, np.int64)):
+                if b - a < 2:
+                    continue
+                own = None if side[a] is None else np.array(side[a:b])
+                maps = [sigtree.bitmap(s, sigtree.size_class(len(s))) for s in sets[a:b]]
+                # a pair that meets in a smaller group too is counted there
+                before = [[x for x in leaders[k] if x < leader[a]] for k in range(a, b)]
+                seen = bit_rows([np.array(x, np.int64) for x in before], 1 << 62) if any(before) else None
+                tokens = bit_rows(sets[a:b], TASK_WORDS) if b - a > FEW else None
+                for i, j in sigtree.candidates(np.arange(a, b), sizes[a:b], maps, own, percent):
+                    if seen is not None:
+                        new = in_common(seen, i - a, j - a) == 0
+                        i, j = i[new], j[new]
+                    if tokens is not None:
+                        shared = in_common(tokens, i - a, j - a)
+                    else:
+                        shared = np.array([len(sets[x]) + len(sets[y]) - len(distinct(np.concatenate((sets[x], sets[y])))) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+                    good = 100 * shared >= percent * (sizes[i] + sizes[j] - shared)
+                    held.append((i[good], j[good]))
+                    flush(1 << 16)
+            flush(0)
+            at = np.flatnonzero(found.hit)
+            least, member = found.rows(np.array(node, np.int64))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(least, pa.int64()), "b": pa.array(member, pa.int64()), "n": pa.array(totals[at], pa.int64())})
+
+    return run
+
+
+def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links); with
+    ``links`` also n_links, the number of other rows that reach the threshold with it (null without doc_id)."""
     spark = df.sparkSession
+    if links and df.where(F.col(id_col).cast("long").isNotNull()).groupBy(F.col(id_col).cast("long")).count().where("count > 1").limit(1).count():
+        return by_row(df, words, percent, id_col, text_col)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +304,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
 
     described = materialise(texts.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>, bits binary"), "shingles")
     able = described.where("doc_id IS NOT NULL AND n_shingles > 0")
-    nodes = materialise(able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "nodes")
+    nodes = materialise(able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
     members = materialise(described.select("doc_id", "n_shingles", "d1", "d2"), "members")
     release(spark, described)
     held = nodes.select("node", "n_shingles", F.explode("tokens").alias("token"))
@@ -253,10 +328,31 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     sets = texts.join(meeting.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole, "node long, tokens binary")
     sizes = meeting.groupBy("leader").agg(F.count("*").alias("members")).where("members > 1")
     tasks = blocks(meeting, "leader", "node", sizes).join(sets, "node")
-    links = tasks.select("task", "node", "side", "tokens").repartition(n, "task").sortWithinPartitions("task").mapInArrow(joined(percent), "a long, b long")
-    found = components(links, "a", "b")
-    named = nodes.select("n_shingles", "d1", "d2", "node").join(found, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    return members.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if not links:
+        joins = tasks.select("task", "node", "side", "tokens").repartition(n, "task").sortWithinPartitions("task").mapInArrow(joined(percent), "a long, b long")
+        named = nodes.select("n_shingles", "d1", "d2", "node").join(components(joins, "a", "b"), "node", "left")
+        named = named.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
+        extra = []
+    else:
+        groups = meeting.groupBy("node").agg(F.collect_list("leader").alias("leaders"))
+        full = tasks.join(groups, "node").join(nodes.select("node", "copies"), "node").select("task", "node", "side", "tokens", "leader", "leaders", "copies")
+        joins = materialise(full.repartition(n, "task").sortWithinPartitions("task").mapInArrow(counted(percent), "a long, b long, n long"), "links")
+        totals = joins.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
+        named = nodes.select("n_shingles", "d1", "d2", "node", "copies").join(components(joins, "a", "b"), "node", "left").join(totals, "node", "left")
+        named = named.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        extra = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")]
+    return members.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *extra)
+
+
+def by_row(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The classes with links where ids repeat: rows have keys of their own, and each its own class and links."""
+    key = F.when(F.col(id_col).cast("long").isNotNull(), F.monotonically_increasing_id())
+    rows = materialise(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("row")), "rows")
+    found = materialise(classes(rows, words, percent, "row", "text", links=True).withColumnRenamed("doc_id", "row"), "row-classes")
+    named = found.join(rows.select("row", "doc_id"), "row")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"), "n_links")
+    return named.unionAll(found.where("row IS NULL").select(F.col("row").alias("doc_id"), "n_shingles", "component_id", "n_links"))
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

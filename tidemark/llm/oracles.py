@@ -42,6 +42,12 @@ reach(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id,
 SELECT n.doc_id, n.n AS n_shingles, min(reach.node) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY ALL
 """
 
+#: The same with the number of each document's links.
+LINKS = JACCARD.rsplit("\nSELECT", 1)[0] + """,
+c AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY ALL)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.node) AS component_id, coalesce(max(c.n_links), 0) AS n_links FROM n JOIN reach USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
 CRC = """
 tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: (c >> 1) ^ (CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), i) AS c FROM range(256) x(i))),
 bytes AS (SELECT r, doc_id, strlen(text) + 1 AS size, list_transform(range(strlen(text)), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT *, hex(encode(text)) AS h FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents))),
@@ -72,4 +78,4 @@ v AS (SELECT page_id, strlen(html) AS bytes, sha1(html) AS s, list_transform(ran
 SELECT page_id, bytes AS payload_bytes, {LETTERS} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v
 """
 
-ORACLES = {"op2_quality": QUALITY, "op3_jaccard": JACCARD, "op7_sharding": shards(16, 0), "op8_mixing": mixing.ORACLE.format(seed=17), "op10_warc": WARC}
+ORACLES = {"op2_quality": QUALITY, "op3_jaccard": JACCARD, "op3_links": LINKS, "op7_sharding": shards(16, 0), "op8_mixing": mixing.ORACLE.format(seed=17), "op10_warc": WARC}

@@ -44,6 +44,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), words=3, percent=90, links=True)
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -80,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_jaccard, op4_lm_score, op5_url_filter, op6_packing, op7_sharding, op8_mixing, op9_token_files, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_jaccard, op3_links, op4_lm_score, op5_url_filter, op6_packing, op7_sharding, op8_mixing, op9_token_files, op10_warc)}
 
 
 def queries() -> dict:
