@@ -1,4 +1,11 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Steps go on until the edges no longer change, which is when every node points at the smallest one of its component;
+their number grows with the logarithm of the longest path, and nothing bounds it beforehand.
+
+Defined results: an edge from a node to itself names no component; repeated edges and both directions count once;
+an edge with a null end is left out; no edges give no rows.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +27,12 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.select(F.col("w").alias("v"), F.col("low").alias("m")).where("v <> m").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its smallest node."""
-    now = materialise(edges.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("m")).where("v <> m").distinct(), "edges")
+    ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
+    now = materialise(ends.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         told = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
         if told == before or not told[0]:
             break

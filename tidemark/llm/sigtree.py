@@ -3,7 +3,11 @@
 A dual traversal walks pairs of nodes from the roots.  A pair goes on only if its size ranges allow the threshold
 and its maximum possible overlap does: members a and b share at most ``popcount(OR_x & OR_y)`` bits, and a set of
 ``n`` tokens with ``k`` bits can hide at most ``n - k`` tokens behind them.  Sets are kept in classes by size (a class
-doubles), each with a bitmap width of its own; the wider one of two neighbouring classes is folded.
+doubles), each with a bitmap width of its own; the wider one of two classes is folded.  Every pair of classes whose
+sizes may reach the threshold is traversed, as many classes apart as the threshold allows.
+
+Defined results: no members and a single member give no pairs; equal sets are pairs like others; empty sets fit
+nothing, and callers leave them out; sets of any size are members, their bitmaps grow with them.
 """
 
 from __future__ import annotations
@@ -48,6 +52,13 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def classes_apart(percent: int) -> int:
+    """How many size classes sets that reach the threshold can lie apart."""
+    if not 0 < percent <= 100:
+        raise ValueError("the threshold must be from 1 to 100 percent")
+    return (100 // percent).bit_length()
+
+
 def fits(low_a, high_a, low_b, high_b, percent: int):
     return (100 * np.minimum(high_a, high_b) >= percent * np.maximum(low_a, low_b))
 
@@ -134,9 +145,9 @@ def candidates(rows: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], side
     classes = np.array([size_class(int(n)) for n in sizes])
     parts = [np.ones(len(rows), bool)] if sides is None else [sides == 0, sides == 1]
     trees = [{c: Tree(rows[(m := p & (classes == c))], sizes[m], np.stack([maps[i] for i in np.flatnonzero(m)])) for c in sorted(set(classes[p].tolist()))} for p in parts]
-    left, right = trees[0], trees[-1]
+    left, right, far = trees[0], trees[-1], classes_apart(percent)
     for c, tree in left.items():
-        for d in (c, c + 1) if sides is None else (c - 1, c, c + 1):
+        for d in range(c if sides is None else c - far, c + far + 1):
             if d in right:
                 yield from dual(tree, right[d], percent)
 
