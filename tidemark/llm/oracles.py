@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import mixing, quality, sharding
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUALITY = r"""
+def sql(pattern: str, flags: str = "") -> str:
+    """A pattern of ``quality`` as a string of SQL."""
+    return "'" + flags + pattern.replace("'", "''") + "'"
+
+
+CLOSED = sql(quality.CLOSED.pattern.replace("\\Z", "$"))
+QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (SELECT r, i, array_to_string(w[i:i+2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
@@ -15,13 +21,13 @@ twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) AS x(k) GROUP BY r),
 ln AS (SELECT r, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS seen
        FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
-ju AS (SELECT *, regexp_matches(line, '[.!?:;…。！？؟।।፧‽][\s"''”’»›)\]}」』】]*$') AS closed FROM ln WHERE n > 0),
+ju AS (SELECT *, regexp_matches(line, {CLOSED}) AS closed FROM ln WHERE n > 0),
 ok AS (SELECT r, n, seen, NOT (
     seen
-    OR len(regexp_extract_all(line, '(?:^|\s)[|»›•·→>◦▪](?:\s|$)|\s[|»›•·→>◦▪]\s')) >= 2
-    OR (n <= 12 AND NOT closed AND regexp_matches(line, '(?i)\b(?:home|login|log in|sign in|sign up|register|menu|sitemap|site map|next page|previous page|read more|click here|back to top|skip to content|contact us|about us|subscribe|share this|follow us)\b'))
-    OR (n <= 40 AND regexp_matches(line, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses cookies|accept cookies|javascript|enable scripts|lorem ipsum|copyright|licen[cs]ed under|is licen[cs]ed|released under the)\b|©|\{[^}]*;[^}]*\}'))
-    OR 10 * len(regexp_extract_all(line, '[!?*#$%&|<>=~^_+@\\/]{2,}')) > n
+    OR len(regexp_extract_all(line, {sql(quality.SEPARATOR.pattern)})) >= 2
+    OR (n <= 12 AND NOT closed AND regexp_matches(line, {sql(quality.MENU.pattern, "(?i)")}))
+    OR (n <= 40 AND regexp_matches(line, {sql(quality.NOTICE.pattern, "(?i)")}))
+    OR 10 * len(regexp_extract_all(line, {sql(quality.MARKS.pattern)})) > n
     OR (NOT closed AND NOT (n >= 15 AND regexp_matches(line, '[\pL\pN][.!?。！？]["''”’»)]?[ \t]')))
     OR (n >= 3 AND line = upper(line) AND line <> lower(line))) AS good FROM ju),
 ls AS (SELECT r, sum(seen::INT)::BIGINT AS dup, coalesce(sum(n) FILTER (good), 0)::BIGINT AS kept FROM ok GROUP BY r)
@@ -55,19 +61,24 @@ sz AS (SELECT r, doc_id, size::BIGINT AS size, xor(list_reduce(b, lambda c, x: x
 """.replace("(c >> 1) ^ (CASE", "xor(c >> 1, (CASE").replace("ELSE 0 END), i)", "ELSE 0 END)), i)")
 
 
-def shards(n_shards: int, seed: int, steps: int = 12) -> str:
-    """The permutation in SQL: ``a`` and ``b`` are columns, each walk is a step that leaves places below n alone."""
+def shards(n_shards: int, seed: int) -> str:
+    """The permutation in SQL: every step of the walk takes the places that are not below n once more."""
     stir = lambda x, k: f"((xor((({x} + {k}) * 48271) % 2147483647, ((({x} + {k}) * 48271) % 2147483647) >> 15) + {k}) * 69621) % 2147483647"
-    parts = [f"WITH {CRC}, nn AS (SELECT count(*) AS n, CASE WHEN count(*) <= 1 THEN 1 ELSE floor(sqrt(count(*) - 1))::BIGINT + 1 END AS a FROM documents), ab AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM nn)"]
-    parts.append("w0 AS (SELECT doc_id, size, text_crc32, n, a, b, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS p, true AS go FROM sz, ab)")
-    for step in range(steps):
-        parts.append(f"f{step}_0 AS (SELECT *, p % a AS l, p // a AS r FROM w{step})")
+
+    def once(rows: str) -> str:
+        out = f"SELECT *, p % a AS l, p // a AS r FROM {rows}"
         for i, key in enumerate(sharding.KEYS):
             k = key + seed
             new = f"l, (r + {stir('l', k)}) % b AS r" if i % 2 else f"(l + {stir('r', k)}) % a AS l, r"
-            parts.append(f"f{step}_{i + 1} AS (SELECT doc_id, size, text_crc32, n, a, b, p, go, {new} FROM f{step}_{i})")
-        parts.append(f"w{step + 1} AS (SELECT doc_id, size, text_crc32, n, a, b, CASE WHEN go THEN r * a + l ELSE p END AS p, CASE WHEN go THEN r * a + l >= n ELSE false END AS go FROM f{step}_{len(sharding.KEYS)})")
-    return ", ".join(parts) + f" SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {n_shards})::INT AS shard, p // {n_shards} AS slot, NULL::INT AS grown_shard FROM w{steps}"
+            out = f"SELECT * EXCLUDE (l, r), {new} FROM ({out})"
+        return f"SELECT * EXCLUDE (l, r, p), r * a + l AS p FROM ({out})"
+
+    return f"""WITH RECURSIVE {CRC},
+nn AS (SELECT count(*) AS n, CASE WHEN count(*) <= 1 THEN 1 ELSE floor(sqrt(count(*) - 1))::BIGINT + 1 END AS f FROM documents),
+ab AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT n, f, unnest(range(f, f + least({sharding.SEARCH}, f // 4 + 1))) AS a FROM nn) ORDER BY a * ((n + a - 1) // a) - n, a LIMIT 1),
+w0 AS (SELECT doc_id, size, text_crc32, n, a, b, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS p FROM sz, ab),
+walk AS ({once('w0')} UNION ALL {once('(SELECT * FROM walk WHERE p >= n)')})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {n_shards})::INT AS shard, p // {n_shards} AS slot, NULL::INT AS grown_shard FROM walk WHERE p < n"""
 
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
