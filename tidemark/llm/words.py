@@ -31,7 +31,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
             _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    found = _powers["up"][:n], _powers["down"][:n]
+    if len(_powers["up"]) > 4 * STEP:  # a very long text's are not kept
+        _powers.clear()
+    return found
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
