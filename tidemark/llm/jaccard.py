@@ -12,10 +12,13 @@
    links each node has, and what joins them, not the pairs, whose number grows with the square of a group.
 5. Components of the links.
 
-Groups beyond ``BLOCK`` nodes are dealt into blocks, and each pair of blocks is a group of its own.
+Groups beyond ``BLOCK`` nodes or ``BLOCK_TOKENS`` tokens are dealt into blocks, and each pair of blocks is a group of
+its own.
 
 Defined results: a null or wordless text has an empty set and joins nothing; fewer words than a shingle are one
-shingle; rows without doc_id come out unjoined (component null); repeated ids share their component.
+shingle; rows without doc_id come out unjoined (component null); repeated ids share their component; equal texts are
+one class, whatever their number; texts are read whole, whatever their length; an empty table gives no rows.  Other
+columns, whatever they are named, take no part; ``keep_one`` passes them on.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import sigtree
 from tidemark.llm.components import components
-from tidemark.llm.scratch import materialise, partitions_for, release
+from tidemark.llm.scratch import materialise, partitions_for, quoted, release
+from tidemark.llm.workers import sliced, tidy
 from tidemark.llm.words import distinct, scramble, shingle_set, slices, word_hashes
 
-BLOCK = 4096
-#: Texts whose sets a task holds at a time.
-ROWS = 1000
+BLOCK, BLOCK_TOKENS = 4096, 1 << 22
+#: Rows and bytes of whole tasks that a worker holds at a time, beyond the task itself.
+HELD_ROWS, HELD_BYTES = 20_000, 16 << 20
+#: Classes with more than this share of all rows are joined by broadcast, so there are at most as many.
+HOT_CLASSES = 1000
 #: A token is frequent from this many documents on; more where the table of frequent tokens would pass its bound.
 FREQUENT, FREQUENT_TOKENS = 4, 1 << 20
 #: Tasks beyond FEW nodes count pairs on bits, if those take no more than TASK_WORDS; PAIR_WORDS are compared at a time.
@@ -48,7 +54,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def each_set(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches, cut small, with the shingle sets of their last column's texts."""
-    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+    for batch in (x for whole in batches for x in sliced([whole], whole.num_columns - 1) if x.num_rows):
         texts = [x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
         found: list[np.ndarray] = []
         for first, end, data, offsets in slices(texts):
@@ -73,30 +79,39 @@ def first_tokens(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
 
 
 def blocks(rows: DataFrame, group: str, member: str, counts: DataFrame) -> DataFrame:
-    """Each row once per pair of blocks it takes part in: adds task and side (null: all pairs of the task)."""
-    m = F.ceil(F.col("members") / BLOCK).cast("int")
+    """Each row once per pair of blocks it takes part in: adds task and side (null: all pairs of the task).
+    ``counts`` has the members of each group and the sum of their sizes."""
+    m = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("int")
     dealt = rows.join(counts, group).withColumn("m", m).withColumn("own", F.pmod(F.xxhash64(member), F.col("m")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    return other.withColumn("task", F.xxhash64(group, low, high)).withColumn("side", F.when(F.col("own") == F.col("other"), F.lit(None)).otherwise((F.col("own") > F.col("other")).cast("int"))).drop("m", "own", "other", "members")
+    return other.withColumn("task", F.xxhash64(group, low, high)).withColumn("side", F.when(F.col("own") == F.col("other"), F.lit(None)).otherwise((F.col("own") > F.col("other")).cast("int"))).drop("m", "own", "other", "members", "total")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
-    """Whole tasks, many to a list of columns; the input is sorted by its first column."""
+    """Whole tasks, many to a list of columns; the input is sorted by its first column.  A task is bounded by its
+    blocks; beyond it a worker holds what ``HELD_ROWS`` and ``HELD_BYTES`` say."""
     held: list[list] = [[] for _ in range(columns)]
-    for batch in batches:
+    size = 0
+    for batch in (x for whole in batches for x in sliced([whole], widest(whole), 4096)):
         for c in range(columns):
             held[c] += batch.column(c).to_pylist()
-        if len(held[0]) >= 20_000 and held[0][0] != held[0][-1]:
+        size += batch.nbytes
+        if (len(held[0]) >= HELD_ROWS or size >= HELD_BYTES) and held[0][0] != held[0][-1]:
             cut = len(held[0])
             while held[0][cut - 1] == held[0][-1]:
                 cut -= 1
             yield [c[:cut] for c in held]
             held = [c[cut:] for c in held]
+            size = 0
     if held[0]:
         yield held
 
 
+def widest(batch: pa.RecordBatch) -> int:
+    return max(range(batch.num_columns), key=lambda c: batch.column(c).nbytes)
+
+
 def runs(task: np.ndarray) -> Iterator[tuple[int, int]]:
     cuts = np.flatnonzero(np.diff(task)) + 1
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(task)], strict=True)
@@ -129,16 +144,16 @@ class Meetings:
         table[list(root)] = [find(x) for x in root]
         self.labels = table[self.labels]
 
-    def rows(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(smallest node of the label, node) of the rows that were hit."""
+    def rows(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(smallest node of the label, node, place) of the rows that were hit."""
         at = np.flatnonzero(self.hit)
         least = np.full(len(self.labels), np.iinfo(np.int64).max)
         np.minimum.at(least, self.labels[at], node[at])
-        return least[self.labels[at]], node[at]
+        return least[self.labels[at]], node[at], at
 
 
 def possible(percent: int) -> Callable:
-    """Stage 3: (task, node, size, side, bitmap) -> (leader, node) of nodes with a possible partner; nodes of a
+    """Stage 3: (task, node, size, side, bitmap) -> (leader, node, size) of nodes with a possible partner; nodes of a
     possible pair have the same leader, the smallest node that such pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +170,8 @@ def possible(percent: int) -> Callable:
                     own = None if side[a] is None else np.array(side[a:b])
                     for i, j in sigtree.candidates(np.arange(a, b), size[a:b], maps[a:b], own, percent):
                         found.add(i, j)
-            leader, member = found.rows(np.array(node, np.int64))
-            yield pa.RecordBatch.from_pydict({"leader": pa.array(leader, pa.int64()), "node": pa.array(member, pa.int64())})
+            leader, member, at = found.rows(np.array(node, np.int64))
+            yield pa.RecordBatch.from_pydict({"leader": pa.array(leader, pa.int64()), "node": pa.array(member, pa.int64()), "size": pa.array(size[at], pa.int64())})
 
     return run
 
@@ -258,8 +273,7 @@ def counted(percent: int) -> Callable:
                     held.append((i[good], j[good]))
                     flush(1 << 16)
             flush(0)
-            at = np.flatnonzero(found.hit)
-            least, member = found.rows(np.array(node, np.int64))
+            least, member, at = found.rows(np.array(node, np.int64))
             yield pa.RecordBatch.from_pydict({"a": pa.array(least, pa.int64()), "b": pa.array(member, pa.int64()), "n": pa.array(totals[at], pa.int64())})
 
     return run
@@ -268,17 +282,19 @@ def counted(percent: int) -> Callable:
 def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links); with
     ``links`` also n_links, the number of other rows that reach the threshold with it (null without doc_id)."""
+    sigtree.classes_apart(percent)  # refuses a threshold without a meaning
     spark = df.sparkSession
-    if links and df.where(F.col(id_col).cast("long").isNotNull()).groupBy(F.col(id_col).cast("long")).count().where("count > 1").limit(1).count():
+    own_id = F.col(quoted(id_col)).cast("long")
+    if links and repeated(df, id_col, nulls=False):
         return by_row(df, words, percent, id_col, text_col)
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
+    texts = df.select(own_id.alias("doc_id"), F.encode(F.col(quoted(text_col)), "UTF-8").alias("raw"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in each_set(batches, words):
             tokens = [s[: prefix_size(len(s), percent)] for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens or [np.zeros(0, np.uint64)])))], names=["token"])
 
-    counts = texts.select("raw").mapInArrow(keys, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    counts = texts.select("raw").mapInArrow(tidy(keys), "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
     counts = materialise(counts, "frequent")
     release(spark)
     least = FREQUENT
@@ -302,15 +318,15 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
                 names=["doc_id", "n_shingles", "d1", "d2", "tokens", "bits"],
             )
 
-    described = materialise(texts.mapInArrow(describe, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>, bits binary"), "shingles")
+    described = materialise(texts.mapInArrow(tidy(describe), "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>, bits binary"), "shingles")
     able = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = materialise(able.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
     members = materialise(described.select("doc_id", "n_shingles", "d1", "d2"), "members")
-    release(spark, described)
+    release(spark, described, counts)
     held = nodes.select("node", "n_shingles", F.explode("tokens").alias("token"))
-    shared = held.groupBy("token").agg(F.count("*").alias("members"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("sum")).where("members > 1")
+    shared = held.groupBy("token").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("sum")).where("members > 1")
     # tokens with the same members, as copies have them by the dozen, make one group
-    shared = shared.groupBy("members", "leader", "sum").agg(F.min("token").alias("token")).select("token", "members")
+    shared = shared.groupBy("members", "leader", "sum").agg(F.min("token").alias("token"), F.max("total").alias("total")).select("token", "members", "total")
     # sizes alone rule most out: a node has a partner of a fitting size if one of its neighbours by size fits
     by_size = Window.partitionBy("task").orderBy("n_shingles")
     near = blocks(held, "token", "node", shared).withColumn("below", F.lag("n_shingles").over(by_size)).withColumn("above", F.lead("n_shingles").over(by_size))
@@ -318,36 +334,57 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     rows = near.join(nodes.select("node", "n_shingles", "bits"), "node")
     n = partitions_for(spark)
     ready = rows.select("task", "node", "n_shingles", "side", "bits").repartition(n, "task").sortWithinPartitions("task")
-    meeting = materialise(ready.mapInArrow(possible(percent), "leader long, node long").distinct(), "meeting")
+    meeting = materialise(ready.mapInArrow(tidy(possible(percent)), "leader long, node long, size long").distinct(), "meeting")
     release(spark)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in each_set(batches, words):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    sets = texts.join(meeting.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(whole, "node long, tokens binary")
-    sizes = meeting.groupBy("leader").agg(F.count("*").alias("members")).where("members > 1")
+    sets = texts.join(meeting.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(tidy(whole), "node long, tokens binary")
+    sizes = meeting.groupBy("leader").agg(F.count("*").alias("members"), F.sum("size").alias("total")).where("members > 1")
     tasks = blocks(meeting, "leader", "node", sizes).join(sets, "node")
     if not links:
-        joins = tasks.select("task", "node", "side", "tokens").repartition(n, "task").sortWithinPartitions("task").mapInArrow(joined(percent), "a long, b long")
-        named = nodes.select("n_shingles", "d1", "d2", "node").join(components(joins, "a", "b"), "node", "left")
-        named = named.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-        extra = []
+        joins = tasks.select("task", "node", "side", "tokens").repartition(n, "task").sortWithinPartitions("task").mapInArrow(tidy(joined(percent)), "a long, b long")
+        named = nodes.select("n_shingles", "d1", "d2", "copies", "node").join(components(joins, "a", "b"), "node", "left")
+        named = named.select("n_shingles", "d1", "d2", "copies", F.coalesce("component", "node").alias("component_id"), F.lit(0).alias("n_links"))
     else:
         groups = meeting.groupBy("node").agg(F.collect_list("leader").alias("leaders"))
         full = tasks.join(groups, "node").join(nodes.select("node", "copies"), "node").select("task", "node", "side", "tokens", "leader", "leaders", "copies")
-        joins = materialise(full.repartition(n, "task").sortWithinPartitions("task").mapInArrow(counted(percent), "a long, b long, n long"), "links")
+        joins = materialise(full.repartition(n, "task").sortWithinPartitions("task").mapInArrow(tidy(counted(percent)), "a long, b long, n long"), "links")
         totals = joins.groupBy(F.col("b").alias("node")).agg(F.sum("n").alias("n"))
         named = nodes.select("n_shingles", "d1", "d2", "node", "copies").join(components(joins, "a", "b"), "node", "left").join(totals, "node", "left")
-        named = named.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        extra = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")]
-    return members.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *extra)
+        named = named.select("n_shingles", "d1", "d2", "copies", F.coalesce("component", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = told(members, materialise(named, "classes"))
+    extra = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links")] if links else []
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *extra)
+
+
+def told(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Each member with what its class is told.  Empty sets are in no class; large classes, few by their size, are
+    broadcast, so no class's members meet in one task."""
+    key = ["n_shingles", "d1", "d2"]
+    least = max(1, members.count() // HOT_CLASSES)
+    hot = F.broadcast(named.where(F.col("copies") > least).drop("copies").withColumn("hot", F.lit(True)))
+    first = members.where("n_shingles > 0").join(hot, key, "left")
+    rest = first.where("hot IS NULL").select("doc_id", *key).join(named.where(F.col("copies") <= least).drop("copies"), key, "left")
+    none = [F.lit(None).cast("long").alias(c) for c in ("component_id", "n_links")]
+    names = ["doc_id", "n_shingles", "component_id", "n_links"]
+    return first.where("hot").select(names).unionAll(rest.select(names)).unionAll(members.where("n_shingles = 0").select("doc_id", "n_shingles", *none))
+
+
+def repeated(df: DataFrame, id_col: str, nulls: bool) -> bool:
+    """Whether an id stands in several rows (or, with ``nulls``, is missing in one)."""
+    times = df.groupBy(F.col(quoted(id_col)).cast("long").alias("id")).count()
+    twice = (F.col("count") > 1) & F.col("id").isNotNull()
+    return not times.where(twice | F.col("id").isNull() if nulls else twice).limit(1).isEmpty()
 
 
 def by_row(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The classes with links where ids repeat: rows have keys of their own, and each its own class and links."""
-    key = F.when(F.col(id_col).cast("long").isNotNull(), F.monotonically_increasing_id())
-    rows = materialise(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("row")), "rows")
+    own_id = F.col(quoted(id_col)).cast("long")
+    key = F.when(own_id.isNotNull(), F.monotonically_increasing_id())
+    rows = materialise(df.select(own_id.alias("doc_id"), F.col(quoted(text_col)).alias("text"), key.alias("row")), "rows")
     found = materialise(classes(rows, words, percent, "row", "text", links=True).withColumnRenamed("doc_id", "row"), "row-classes")
     named = found.join(rows.select("row", "doc_id"), "row")
     least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
@@ -356,7 +393,15 @@ def by_row(df: DataFrame, words: int, percent: int, id_col: str, text_col: str)
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id names its component: one document of each class stays."""
-    found = classes(df, words, percent, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    """One row of each class of ``df``, that with the smallest id.  Where ids repeat or are missing, rows are told
+    apart by keys of their own: of rows with the smallest id one stays, and rows without an id stand behind others."""
+    if not repeated(df, id_col, nulls=True):
+        found = classes(df, words, percent, id_col, text_col)
+        gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+        return df.join(gone, F.col(quoted(id_col)).cast("long") == F.col("gone"), "left_anti")
+    tagged = materialise(df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "tagged")
+    own_id, text = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
+    found = classes(tagged.select("key", text.alias("text")), words, percent, "key", "text").select(F.col("doc_id").alias("key"), "component_id")
+    first = F.min(F.struct(own_id.isNull(), own_id, "key"))["key"].alias("key")
+    stays = found.join(tagged.select("key", "row"), "key").groupBy("component_id").agg(first).select("key")
+    return tagged.join(stays, "key", "left_semi").select("row.*")
