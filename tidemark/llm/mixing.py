@@ -8,9 +8,15 @@ mixture globally.
 Without given weights the target share of a source is proportional to the square root of its size.  Rates beyond
 ``LARGEST`` are drawn as a sum of independent draws.
 
+Sizes are added up by source before anything is dealt out.  The table of sources is broadcast where it has
+``BROADCAST_SOURCES`` rows at most, so documents are exchanged once, by their places; beyond that, documents meet it
+by source and a salt, so a source of any share is spread over ``SALTS`` keys.
+
 Defined results: null sources form a source of their own; null texts have size 1 like every text plus its length;
 rows with a null id share the hash of the empty id; repeated rows get the same number of copies each; an empty table
-stays empty; sources without a given weight get none, which drops them.
+stays empty; sources without a given weight get none, which drops them; texts are passed on whole, whatever their
+length; columns of the input keep their names and values, whatever they are called, and a detail whose name is taken
+gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -18,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import partitions_for
+from tidemark.llm.scratch import fresh, materialise, partitions_for, quoted, whole_row
 
 LARGEST = 16.0
 #: Terms of the distribution that are added up: beyond them lies less than 2**-52 for every rate up to LARGEST.
 TERMS = 80
+#: A row of the table of sources takes less than a kilobyte.
+BROADCAST_SOURCES, SALTS = 4096, 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -59,7 +67,7 @@ def copies(table: Column, draws: Column, seed: int, key: Column) -> Column:
 
 def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, float] | None = None) -> DataFrame:
     """source, size (characters plus one a document), rate."""
-    sizes = df.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(text_col), F.lit(""))) + 1).alias("size"))
+    sizes = df.groupBy(F.col(quoted(source_col)).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(quoted(text_col)), F.lit(""))) + 1).alias("size"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.sqrt(F.col("size").cast("double")))
     else:
@@ -73,16 +81,25 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: dict[str, floa
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, seed: int = 17, details: bool = False) -> DataFrame:
     """The mixture: the columns of ``df``, a row per copy, in shuffled order.  ``details`` adds rate, n_copies, copy
     and place (the number the order follows)."""
-    drawn = rates(df, source_col, text_col, weights).withColumn("draws", draws_of(F.col("rate")))
-    table = drawn.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("draws").alias("__draws"), distribution(F.col("rate") / F.col("draws")).alias("__table"))
-    joined = df.join(table, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
-    counted = joined.withColumn("__n", copies(F.col("__table"), F.col("__draws"), seed, F.col(id_col)))
-    every = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    placed = every.withColumn("__place", uniform(F.lit(seed), F.col(id_col), F.lit("place"), F.col("__copy")))
-    n = partitions_for(df.sparkSession)  # places are uniform, so equal ranges need no sampling
-    shuffled = placed.repartitionById(n, F.floor(F.col("__place") * n).cast("int")).sortWithinPartitions("__place")
-    extra = [F.col("__rate").alias("rate"), F.col("__n").alias("n_copies"), F.col("__copy").alias("copy"), F.col("__place").alias("place")] if details else []
-    return shuffled.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
+    spark = df.sparkSession
+    table = materialise(rates(df, source_col, text_col, weights), "sources")
+    drawn = table.withColumn("draws", draws_of(F.col("rate")))
+    drawn = drawn.select("source", "rate", "draws", distribution(F.col("rate") / F.col("draws")).alias("table"))
+    rows = df.select(whole_row(df), F.col(quoted(id_col)).alias("id"), F.col(quoted(source_col)).alias("own"))
+    if table.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(drawn), F.col("own").eqNullSafe(F.col("source")))
+    else:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.col("id"), F.col("row")[text_col]), F.lit(SALTS)))
+        dealt = drawn.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(dealt, F.col("own").eqNullSafe(F.col("source")) & (F.col("salt") == F.col("at")))
+    counted = joined.select("row", "id", "rate", copies(F.col("table"), F.col("draws"), seed, F.col("id")).alias("n"))
+    every = counted.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    placed = every.withColumn("place", uniform(F.lit(seed), F.col("id"), F.lit("place"), F.col("copy")))
+    n = partitions_for(spark)  # places are uniform, so equal ranges need no sampling
+    shuffled = placed.repartitionById(n, F.floor(F.col("place") * n).cast("int")).sortWithinPartitions("place")
+    told = ["rate", "n", "copy", "place"] if details else []
+    names = fresh(df.columns, "rate", "n_copies", "copy", "place")
+    return shuffled.select("row.*", *[F.col(c).alias(name) for c, name in zip(told, names, strict=False)])
 
 
 #: The mixture of ``documents`` by square roots, as DuckDB says it.
@@ -93,8 +110,7 @@ rated AS (SELECT source, weight / (SELECT sum(weight) FROM weighed) * (SELECT su
 drawn AS (
   SELECT d.doc_id, d.source, r.rate, r.rate / greatest(ceil(r.rate / 16.0), 1) AS part, i.i,
          ((('0x' || substr(md5('{seed}|' || d.doc_id || '|' || i.i), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
-  FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source, range(1, 1000) AS i(i)
-  WHERE i.i <= greatest(ceil(r.rate / 16.0), 1)),
+  FROM documents d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source, unnest(range(1, greatest(ceil(r.rate / 16.0), 1)::BIGINT + 1)) AS i(i)),
 terms AS (
   SELECT part, k.k, sum(exp(-part + k.k * ln(part) - lgamma(k.k + 1))) OVER (PARTITION BY part ORDER BY k.k) AS f
   FROM (SELECT DISTINCT part FROM drawn), range(0, 81) AS k(k)),
@@ -102,5 +118,5 @@ counts AS (
   SELECT doc_id, source, sum(n)::INT AS n_copies FROM (
     SELECT w.doc_id, w.source, w.i, least(count(*) FILTER (t.f < w.u), 80) AS n FROM drawn w JOIN terms t USING (part) GROUP BY ALL)
   GROUP BY ALL)
-SELECT doc_id, source, n_copies, c.copy::INT AS copy FROM counts, range(1, 2000) AS c(copy) WHERE c.copy <= n_copies
+SELECT doc_id, source, n_copies, c.copy::INT AS copy FROM counts, unnest(range(1, n_copies + 1)) AS c(copy)
 """
