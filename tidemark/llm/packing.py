@@ -5,21 +5,26 @@ Documents are dealt into shards as they are read (a shard is a run of one input
 and a lost task packs its own rows again:
 
 1. whole windows are cut off documents longer than a window;
-2. the rests are counted by length level (``LEVELS`` of them); all combinations of up to three levels that fill a
-   window are enumerated, and non-negative least squares finds how often each is to be repeated to use up the
+2. the rests are counted by length level (``LEVELS`` of them); all combinations of two or three levels that can fill a
+   window exactly are enumerated, and non-negative least squares finds how often each is to be repeated to use up the
    histogram;
-3. counts are rounded down to what is there, and rests are dealt to the combinations;
-4. the residual documents are packed greedily: they fill the gaps that combinations leave, then windows of their
-   own; what is left at the end is cut into powers of two, which need no padding.
+3. counts are rounded down, and each repetition takes rests of the combination's levels whose lengths add up to the
+   window, so it cuts no document and needs no padding; it is left out where there are none;
+4. the residual rests are packed greedily, longest first: with one, two or three others that fill the window exactly,
+   wherever there are some; what finds no partners is put end to end and chopped into windows, and what is left at
+   the end into powers of two, which need no padding either.
+
+So a document is cut only where it is longer than a window or finds no partners, and nothing is padded.
 
 Defined results: a null text is a document of one end id; a null doc_id is kept as null; repeated rows are packed
-each; an empty table gives no pieces; a text longer than a shard is a shard of its own.
+each; an empty table gives no pieces; a text longer than a shard is a shard of its own, whole; other columns, whatever
+they are named, take no part.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
@@ -28,35 +33,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import quoted
 from tidemark.llm.tokens import encoder
+from tidemark.llm.workers import sliced, tidy
 
 WINDOW = 4096
 LEVELS = 64
 SHARD_TOKENS = 4_000_000
 END_ID = 2
+#: Lengths that are tried as the third partner, and cuts of words that a worker remembers.
+TRIED, CACHED = 8, 300_000
 
 
-def patterns(levels: int = LEVELS, parts: int = 3) -> list[tuple[int, ...]]:
-    """Every multiset of up to ``parts`` levels that sums to ``levels``."""
-    return [c for k in range(1, parts + 1) for c in combinations_with_replacement(range(1, levels + 1), k) if sum(c) == levels]
+def patterns(levels: int = LEVELS) -> list[tuple[int, ...]]:
+    """Every multiset of two or three levels whose lengths can fill a window: a level's lengths reach from above the
+    level before to its own, so ``k`` of them can do so if they sum to ``levels`` or up to ``k - 1`` more."""
+    return [c for k in (2, 3) for c in combinations_with_replacement(range(levels, 0, -1), k) if levels <= sum(c) < levels + k]
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """argmin |a x - b| over x >= 0, by active sets: the column with the steepest descent enters, columns that a
-    step would make negative leave."""
-    n = a.shape[1]
-    gram, target = a.T @ a, a.T @ b
-    x, inside = np.zeros(n), np.zeros(n, dtype=bool)
-    for _ in range(rounds):
+    step would make negative leave.  Each step lowers the residual, so no set comes twice; it ends where no column
+    descends, or where rounding leaves nothing to gain."""
+    gram, target = a.T @ a + 1e-9 * np.eye(a.shape[1]), a.T @ b  # columns may depend on each other
+    x, inside = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
+    least = 0.0
+    while True:
         slope = target - gram @ x
         slope[inside] = -np.inf
         enters = int(np.argmax(slope))
-        if slope[enters] <= 1e-7 * max(1.0, float(np.abs(target).max(initial=0.0))):
-            break
+        if slope[enters] <= 1e-9 * max(1.0, float(np.abs(target).max(initial=0.0))):
+            return x
+        before = x.copy()
         inside[enters] = True
         while inside.any():
             own = np.flatnonzero(inside)
-            best = np.linalg.lstsq(a[:, own], b, rcond=None)[0]
+            best = np.linalg.solve(gram[np.ix_(own, own)], target[own])
             if best.min() > 0:
                 x[:] = 0
                 x[own] = best
@@ -71,7 +83,72 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
             x[gone] = 0
             inside[gone] = False
             x[~inside] = 0
-    return x
+        value = float(x @ gram @ x / 2 - target @ x)
+        if not value < least:
+            return before
+        least = value
+
+
+class Rests:
+    """The rests of one shard by exact length."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.stacks: list[list[tuple[int, int]]] = [[] for _ in range(window)]  # (document, start)
+        self.count = np.zeros(window, dtype=np.int64)
+
+    def add(self, doc: int, start: int, n: int) -> None:
+        self.stacks[n].append((doc, start))
+        self.count[n] += 1
+
+    def take(self, lengths: list[int]) -> list[tuple[int, int, int]] | None:
+        """A rest (document, start, length) of each length; none if they are not all there."""
+        if any(self.count[n] < k for n, k in Counter(lengths).items()):
+            return None
+        for n in lengths:
+            self.count[n] -= 1
+        return [(*self.stacks[n].pop(), n) for n in lengths]
+
+    def fill(self, kind: tuple[int, ...], unit: int) -> list[tuple[int, int, int]] | None:
+        """Rests of the levels of ``kind`` that fill the window: all but the last level are tried against the length
+        that is missing."""
+        spans = [((level - 1) * unit + 1, min(level * unit, self.window - 1)) for level in kind]
+        own = [low + np.flatnonzero(self.count[low : high + 1]) for low, high in spans[:-1]]
+        sums = own[0] if len(kind) == 2 else own[0][:, None] + own[1][None, :]
+        missing = self.window - sums
+        low, high = spans[-1]
+        fits = (missing >= low) & (missing <= high)
+        fits &= self.count[np.where(fits, missing, 0)] > 0
+        for at in np.argwhere(fits):
+            lengths = [int(o[i]) for o, i in zip(own, at, strict=True)]
+            if found := self.take([*lengths, self.window - sum(lengths)]):
+                return found
+        return None
+
+    def pair(self, total: int) -> list[int] | None:
+        """Two lengths that sum to ``total``, as near to each other as there are."""
+        there = self.count[1:total] > 0
+        half = total // 2
+        both = np.flatnonzero(there[:half] & there[::-1][:half]) + 1
+        for a in both[::-1][:2].tolist():
+            if 2 * a < total or self.count[a] > 1:
+                return [a, total - a]
+        return None
+
+    def partners(self, n: int) -> list[int] | None:
+        """One, two or three lengths that fill the window beside ``n``, which is taken out already."""
+        missing = self.window - n
+        if self.count[missing]:
+            return [missing]
+        if found := self.pair(missing):
+            return found
+        for c in (np.flatnonzero(self.count[:missing])[::-1][:TRIED]).tolist():
+            self.count[c] -= 1
+            found = self.pair(missing - c)
+            self.count[c] += 1
+            if found:
+                return [c, *found]
+        return None
 
 
 def pack(lengths: list[int], window: int = WINDOW, levels: int = LEVELS) -> list[tuple[int, int, int, int, int]]:
@@ -79,92 +156,92 @@ def pack(lengths: list[int], window: int = WINDOW, levels: int = LEVELS) -> list
     out: list[tuple[int, int, int, int, int]] = []
     sequence = 0
     unit = window // levels
-    bins: list[list[tuple[int, int, int]]] = [[] for _ in range(levels + 1)]  # (document, start, length)
+    rests = Rests(window)
     for doc, n in enumerate(lengths):
         whole = n - n % window
         for start in range(0, whole, window):
             out.append((doc, start, window, sequence, 0))
             sequence += 1
         if n > whole:
-            bins[-(-(n - whole) // unit)].append((doc, whole, n - whole))
+            rests.add(doc, whole, n - whole)
+
+    def put(pieces: list[tuple[int, int, int]]) -> None:
+        nonlocal sequence
+        at = 0
+        for doc, start, n in pieces:
+            out.append((doc, start, n, sequence, at))
+            at += n
+        sequence += 1
+
     kinds = patterns(levels)
     use = np.zeros((levels, len(kinds)))
     for j, kind in enumerate(kinds):
         for level in kind:
             use[level - 1, j] += 1
-    have = np.array([len(b) for b in bins[1:]], dtype=float)
+    have = np.bincount(-(-np.arange(window) // unit), weights=rests.count, minlength=levels + 1)[1 : levels + 1]
     counts = nnls(use, have) if have.any() else np.zeros(len(kinds))
-    filled: list[list[tuple[int, int, int]]] = []
-    for j in np.argsort(-counts, kind="stable"):
-        need = {level: kinds[j].count(level) for level in kinds[j]}
-        for _ in range(min(int(counts[j] + 0.5), *(len(bins[level]) // k for level, k in need.items()))):
-            filled.append([bins[level].pop() for level in kinds[j]])
-    rest = deque(piece for level in range(levels, 0, -1) for piece in bins[level])
-    spare = sum(p[2] for p in rest)
-    gap = sum(window - sum(p[2] for p in f) for f in filled)
-    while filled and spare < gap:  # too little is left to fill the gaps: open the last combinations again
-        opened = filled.pop()
-        size = sum(p[2] for p in opened)
-        spare, gap = spare + size, gap - (window - size)
-        rest.extend(opened)
-
-    def fill(at: int, end: int) -> None:
-        while at < end:
-            doc, start, n = rest.popleft()
-            take = min(n, end - at)
-            out.append((doc, start, take, sequence, at))
-            if take < n:
-                rest.appendleft((doc, start + take, n - take))
-            at += take
-
-    for pieces in filled:
-        at = 0
-        for doc, start, n in pieces:
-            out.append((doc, start, n, sequence, at))
-            at += n
-        fill(at, window)
-        spare -= window - at
-        sequence += 1
+    for j in np.argsort(-counts, kind="stable").tolist():
+        for _ in range(int(counts[j])):
+            if not (found := rests.fill(kinds[j], unit)):
+                break
+            put(found)
+    alone: deque[tuple[int, int, int]] = deque()
+    for n in range(window - 1, 0, -1):
+        while rests.count[n]:
+            own = rests.take([n])
+            others = rests.partners(n)
+            if not others:
+                alone += own
+                break
+            put(own + rests.take(others))
+        while found := rests.take([n]):  # a length without partners stays without
+            alone += found
+    spare = sum(n for _, _, n in alone)
     while spare:
         size = window if spare >= window else 1 << (spare.bit_length() - 1)
-        fill(0, size)
+        pieces, at = [], 0
+        while at < size:
+            doc, start, n = alone.popleft()
+            taken = min(n, size - at)
+            pieces.append((doc, start, taken))
+            if taken < n:
+                alone.appendleft((doc, start + taken, n - taken))
+            at += taken
+        put(pieces)
         spare -= size
-        sequence += 1
     return out
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_texts(df: DataFrame, vocabulary: str, spaced: bool = False, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents; ``sequence_id`` joins the pieces of a sequence.  ``with_ids`` adds the piece's
     ids as little-endian 32-bit words.  ``vocabulary`` is a tokenizer file that every executor can read."""
     if window < LEVELS or window % LEVELS:
         raise ValueError(f"the window must be a multiple of {LEVELS}")
     schema = PIECES + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, tool = TaskContext.get().partitionId() << 32, encoder(vocabulary, spaced)
+        own, tool = TaskContext.get().partitionId() << 32, encoder(vocabulary, CACHED)
         docs: list[tuple[int | None, bytes]] = []
         size, used = 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             pieces = pack([len(ids) // 4 for _, ids in docs], window)
-            for i in range(0, len(pieces), 50_000):
-                rows = []
-                for doc, start, n, sequence, at in pieces[i : i + 50_000]:
-                    doc_id, ids = docs[doc]
-                    part = ids[4 * start : 4 * (start + n)]
-                    rows.append((doc_id, start, n, zlib.crc32(part), len(ids) // 4, own + used + sequence, at, *[part] * with_ids))
-                arrays = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:7]]
-                arrays += [pa.array([r[7] for r in rows], pa.binary())] if with_ids else []
-                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
+            for i in range(0, len(pieces), 10_000):
+                part = pieces[i : i + 10_000]
+                cuts = [docs[doc][1][4 * start : 4 * (start + n)] for doc, start, n, _, _ in part]
+                columns = [[docs[p[0]][0] for p in part], [p[1] for p in part], [p[2] for p in part], [zlib.crc32(c) for c in cuts], [len(docs[p[0]][1]) // 4 for p in part], [own + used + p[3] for p in part], [p[4] for p in part]]
+                arrays = [pa.array(c, pa.int64()) for c in columns] + [pa.array(cuts, pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
             return 1 + max((p[3] for p in pieces), default=-1)
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tool.encode(text) + end
                 docs.append((doc_id, ids))
@@ -175,4 +252,4 @@ def pack_texts(df: DataFrame, vocabulary: str, spaced: bool = False, id_col: str
         if docs:
             yield from flush()
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return df.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(tidy(run, keep="tokens"), schema)

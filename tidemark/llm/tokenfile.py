@@ -11,10 +11,11 @@ round's rules name only ids and nonterminals of earlier rounds.
 
 Spark's writers carry the files as rows of a Parquet table in the shared folder.  Documents are cut into ranges of
 ascending doc_id by quantiles; a task writes the files of its range, and each file knows how many tokens its task
-wrote before it.
+wrote before it.  An id (or null) that holds more than a range's share is cut by a hash of the text.
 
 Defined results: a null text is a document of just its end id; null doc_ids come first; repeated rows are written
-each, in order of their text; an empty table gives no files.
+each, those of one id next to each other; an empty table gives no files; a text longer than a file is in a file of its
+own, whole; other columns, whatever they are named, take no part.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import materialise, partitions_for
+from tidemark.llm.scratch import materialise, partitions_for, quoted
+from tidemark.llm.sharding import cells_of, constants
 from tidemark.llm.tokens import encoder
+from tidemark.llm.workers import sliced, tidy
 
 MAGIC = b"TIDERP02"
 HEAD = struct.Struct("<8sIIQQQII")  # magic, first nonterminal, rounds, documents, symbols, tokens, rules, bits a symbol
@@ -38,6 +41,8 @@ NONE = np.uint32(0xFFFFFFFF)
 FILE_TOKENS = 2_000_000
 #: A rule takes the place of two symbols in the file, so a pair pays from its second use on.
 LEAST_USES = 2
+#: Cuts of words that a worker remembers.
+CACHED = 1_000_000
 
 
 def groups_of(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, at_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,29 +234,33 @@ class TokenFile:
         return expand(self.symbols, self.base, self.rules, self.sizes)
 
 
-def write_files(df: DataFrame, vocabulary: str, spaced: bool = True, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_files(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """All documents as files: part, number, docs, tokens, tokens_before (of the same part), content."""
     spark = df.sparkSession
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = partitions_for(spark)
-    marks = sorted(set(source.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"] or []))[: n - 1]
-    folded = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")
-    band = F.coalesce(F.aggregate(folded, F.lit(0), lambda s, m: s + (m <= F.col("doc_id")).cast("int")), F.lit(0)) if marks else F.lit(0)
-    ranged = source.repartitionById(n, band).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    source = df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    n, total = partitions_for(spark), source.count()
+    cell, counts = cells_of(source, F.col("doc_id"), [F.col("text")], n, total)
+    # cells side by side share a partition
+    parts, before = [], 0
+    for size in counts:
+        parts.append(min(n - 1, before * n // max(total, 1)))
+        before += size
+    dealt = source.select("doc_id", "text", cell.alias("cell"))
+    ranged = dealt.repartitionById(n, F.get(constants(parts), F.col("cell")).cast("int")).sortWithinPartitions("cell", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).select("doc_id", "text")
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        tool = encoder(vocabulary, spaced)
+        tool = encoder(vocabulary, CACHED)
         docs: list[tuple[int | None, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "docs": [len(docs)], "tokens": [size], "tokens_before": [before], "content": [write_file(docs)]})
 
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = tool.encode(text) + end
                 docs.append((doc_id, ids))
@@ -262,7 +271,7 @@ def write_files(df: DataFrame, vocabulary: str, spaced: bool = True, id_col: str
         if docs:
             yield flush()
 
-    return materialise(ranged.mapInArrow(run, "part int, number int, docs long, tokens long, tokens_before long, content binary"), "token-files")
+    return materialise(ranged.mapInArrow(tidy(run, keep="tokens"), "part int, number int, docs long, tokens long, tokens_before long, content binary"), "token-files")
 
 
 def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -288,4 +297,4 @@ def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 arrays += [pa.array([bytes(p) for p in parts], pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
-    return files.select("part", "tokens_before", "content").mapInArrow(run, schema)
+    return files.select("part", "tokens_before", "content").mapInArrow(tidy(run), schema)
