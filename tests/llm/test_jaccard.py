@@ -61,6 +61,9 @@ def test_against_all_pairs(spark, k, percent):
 
 def test_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(jaccard, "HELD_ROWS", 5)
+    monkeypatch.setattr(jaccard, "HOT_CLASSES", 10)
     monkeypatch.setattr(jaccard, "FREQUENT", 10)
     rng = random.Random(9)
     rows = list(enumerate(near_copies(rng, 60, 60, 6)))
@@ -74,8 +77,37 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect()), key=str)
     assert got == sorted([(5, 36, 3), (3, 36, 3), (3, 36, 3), (None, 36, None), (9, 1, 9), (10, 0, 10), (11, 199_996, 11)], key=str)
     kept = jaccard.keep_one(df)
-    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 3, 9, 10, 11]
-    assert jaccard.classes(df.limit(0)).count() == 0
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [3, 9, 10, 11]
+    assert jaccard.classes(df.limit(0)).count() == 0 and jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_one_row_of_a_class_stays(spark):
+    """Ids that repeat with other texts, copies under one id and copies without an id are told apart by row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    df = docs(spark, [(1, a), (2, a), (2, b), (7, c), (7, c), (None, c), (None, "only here stands this text"), (None, None)])
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (7, c), (None, "only here stands this text"), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("percent", [20, 35])
+def test_low_thresholds_compare_far_size_classes(spark, percent):
+    words = [f"w{i}" for i in range(64)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate([10, 45, 3, 20, 64, 9])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs(spark, rows), 1, percent).collect()}
+    assert got == brute(rows, 1, percent)
+    with pytest.raises(ValueError):
+        jaccard.classes(docs(spark, rows), 1, 0)
+
+
+def test_candidates_at_any_threshold():
+    tokens = np.random.default_rng(6).integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.sort(tokens[:n]) for n in (10, 45, 100, 399, 2)]
+    sizes, maps = np.array([len(s) for s in sets]), [sigtree.bitmap(s, sigtree.size_class(len(s))) for s in sets]
+    for percent in (1, 5, 20, 24, 49, 50, 90):
+        want = {(i, j) for i in range(5) for j in range(5) if i < j and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])}
+        for sides in (None, np.array([0, 1, 0, 1, 1])):
+            found = {(min(a, b), max(a, b)) for x, y in sigtree.candidates(np.arange(5), sizes, maps, sides, percent) for a, b in zip(x.tolist(), y.tolist())}
+            assert {p for p in want if sides is None or sides[p[0]] != sides[p[1]]} <= found
 
 
 @pytest.mark.parametrize("block, few, words", [(4096, 8, 1 << 22), (7, 1, 1 << 22), (4096, 8, 0)])
@@ -98,7 +130,7 @@ def test_every_link_is_counted(spark, monkeypatch, block, few, words):
 
 def test_components(spark):
     rng = random.Random(1)
-    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    edges = [(i, i + 1) for i in range(60)] + [(1000 + (i * 7919) % 700, 1000 + ((i + 1) * 7919) % 700) for i in range(650)] + [(100, i) for i in range(101, 180)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
     root = {}
 
     def find(x):
@@ -112,6 +144,8 @@ def test_components(spark):
         root[max(p, q)] = min(p, q)
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    odd = spark.createDataFrame([(1, 1), (2, None), (None, None)], "a long, b long")
+    assert components.components(odd, "a", "b").count() == 0
 
 
 def test_trees_prune_nothing_that_fits():

@@ -21,18 +21,21 @@ WORDS, BYTES = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("byte
 ODD = ["a  b", "x\n y", " lead", "tail ", "", "it's 'll  12 3", "<|endoftext|> hi", "é ́x", "\t a", "İstanbul ΑΣ ς", "日本 語。 x", "a\x1cb c", "a\nb c\n\nd", "\n", "x\n", "a \nb", "Ünïcode ÀÉ. don't", "e.g. 3.5% (x)", "Foo, BAR!? ab\u00a0cd  ", "ﬁ ﬂ Ⅷ ½"]
 
 
+ENCODERS = {p: tokens.Encoder(p) for p in (WORDS, BYTES)}
+
+
 def library(path, texts):
     tool = Tokenizer.from_file(path)
     tool.encode_special_tokens = True
     return [np.array([*x.ids, 2], dtype="<u4").tobytes() for x in tool.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("path, spaced", [(BYTES, True), (WORDS, False)])
-def test_encoder_is_the_library(path, spaced, spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_is_the_library(path, spark, sf_dir):
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     for bound in (1_000_000, 50):
-        monkeypatch.setattr(tokens, "CACHE_WORDS", bound)
-        own = tokens.Encoder(path, spaced)
+        own = tokens.Encoder(path, bound)
+        assert own.known
         assert [own.encode(t) + b"\2\0\0\0" for t in texts] == library(path, texts)
     assert own.encode(None) == b""
 
@@ -40,8 +43,58 @@ def test_encoder_is_the_library(path, spaced, spark, sf_dir, monkeypatch):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="aB é\n\t.,'!\u00a0\u3000\u0301日7\x1c", max_size=24))
 def test_encoder_on_any_text(text):
-    for path, spaced in ((BYTES, True), (WORDS, False)):
-        assert [tokens.encoder(path, spaced).encode(text) + b"\2\0\0\0"] == library(path, [text])
+    for path in (BYTES, WORDS):
+        assert [ENCODERS[path].encode(text) + b"\2\0\0\0"] == library(path, [text])
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}])
+def test_other_vocabularies_go_to_the_library(change, tmp_path):
+    import json
+
+    path = str(tmp_path / "other.json")
+    with open(BYTES) as file, open(path, "w") as out:
+        json.dump(json.load(file) | change, out)
+    own = tokens.Encoder(path)
+    texts = [*ODD, "The Cat sat. ON the mat"]
+    assert not own.known and [own.encode(t) + b"\2\0\0\0" for t in texts] == library(path, texts)
+
+
+def test_surplus_places_are_walked_off(spark, monkeypatch):
+    """However long the walk: here up to 9,999 steps, where the search for a good size is turned off."""
+    monkeypatch.setattr(sharding, "halves", lambda n: (100, 100))
+    for n in (9_990, 120, 2):
+        places = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 1)).collect()]
+        assert sorted(places) == list(range(n))
+
+
+def test_halves_leave_few_places_over():
+    for n in (1, 2, 7, 1000, 4099, 10**6 + 3, 10**9 + 7, 10**12 + 39):
+        a, b = sharding.halves(n)
+        assert 0 <= a * b - n < max(2, n ** 0.5 / 50, 64) and (n < 100 or 0.6 < a / b < 1.7)
+
+
+def test_hot_and_missing_keys_are_cut(spark, monkeypatch):
+    """No window holds more than a few ranges' shares, though a third of the rows has one key and a third none."""
+    monkeypatch.setattr(sharding, "RANGES", 8)
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"t{i}", "x") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cell string")
+    cell, counts = sharding.cells_of(df, F.col("doc_id"), [F.col("text")], 8, 900)
+    assert sum(counts) == 900 and max(counts) < 300
+    numbered, n = sharding.row_numbers(df, ["doc_id", "text"])
+    got = numbered.orderBy("row_number").collect()
+    assert [r.row_number for r in got] == list(range(900)) == list(range(n))
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids) and numbered.columns == [*df.columns, "row_number"]
+
+
+def test_shard_columns_are_kept(spark):
+    names = ["doc_id", "_band", "_row", "_place", "shard", "slot", "row", "number", "cell", "place"]
+    df = spark.createDataFrame([(i, *[f"{c}{i}" for c in names[1:]]) for i in range(40)], "doc_id long, " + ", ".join(f"{c} string" for c in names[1:]))
+    got = sharding.shard_rows(df, 4, ["doc_id", "slot"])
+    assert got.columns == [*names, "shard_", "slot_"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40)) and all(tuple(r)[1:10] == tuple(f"{c}{r.doc_id}" for c in names[1:]) for r in rows)
+    assert Counter(r.shard_ for r in rows) == Counter({s: 10 for s in range(4)})
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4099])
@@ -104,12 +157,36 @@ def test_pack_any_lengths(lengths):
     assert check_pieces(lengths, packing.pack(lengths, 256), 256) == 0
 
 
-def test_patterns_are_used():
-    rng = random.Random(3)
-    lengths = [rng.choice([1000, 1048, 2048, 3000, 4096, rng.randrange(1, 4096)]) for _ in range(2000)]
-    pieces = packing.pack(lengths)
-    assert check_pieces(lengths, pieces, 4096) == 0
-    assert len(pieces) < 1.6 * len(lengths)  # most documents stay whole
+def chopped(lengths, window=4096):
+    """(pieces, sequences) of putting all documents end to end and chopping."""
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    return int(((ends - 1) // window - starts // window + 1).sum()), -(-int(ends[-1]) // window)
+
+
+def test_combinations_save_cuts(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    real = [len(raw) // 4 for raw in library(WORDS, [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])]
+    for lengths in ([int(x) for x in np.clip(rng.lognormal(6, 1.1, 3000), 1, 30_000)], [int(x) for x in rng.choice([1000, 1048, 2048, 3000, 4096], 2000)], real * 3):
+        pieces = packing.pack(lengths)
+        assert check_pieces(lengths, pieces, 4096) == 0
+        cuts, sequences = chopped(np.array(lengths))
+        needed = sum(-(-n // 4096) for n in lengths)  # no way does with fewer
+        assert len(pieces) - needed < 0.4 * (cuts - needed) + 12
+        assert len({p[3] for p in pieces}) <= sequences + 12  # powers of two at the end
+    assert all(64 <= sum(c) < 64 + len(c) for c in packing.patterns()) and len(set(packing.patterns())) == len(packing.patterns())
+
+
+def test_nnls_ends_on_hard_problems():
+    rng = np.random.default_rng(2)
+    for n in (5, 40):
+        a = rng.integers(0, 3, (n, 4 * n)).astype(float)
+        a[:, n:] = a[:, rng.integers(0, n, 3 * n)]  # columns repeat
+        b = rng.random(n) * 10**6
+        found = packing.nnls(a, b)
+        slope = a.T @ (b - a @ found)
+        assert (found >= 0).all() and slope.max() <= 1e-4 * np.abs(a.T @ b).max()
+    assert packing.nnls(np.ones((3, 4)), np.zeros(3)).tolist() == [0] * 4
 
 
 def test_packed_texts(spark, sf_dir):
@@ -196,7 +273,12 @@ def test_token_files(spark, sf_dir):
 def test_warc(spark):
     rows = [(3, "http://a/", "<p>x</p>"), (1, "http://b/\r\nX: y", "<p>x</p>"), (7, None, None), (5, "u", ""), (9, "u", "é" * 100_000), (9, "u", "é" * 100_000), (None, "u", "<p>x</p>"), (None, "u", "solo")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).repartition(3)
+    df = df.withColumn("tag", F.lit(2)).withColumn("salt", F.lit("x")).withColumn("key", F.lit(0))
     archives = warc.write_archives(df, archive_bytes=2000)
+    heads = [raw.partition(b"\r\n\r\n")[0].decode().split("\r\n") for r in archives.collect() for raw in warc.open_archive(bytes(r.content))]
+    own = [next(h for h in head if h.startswith("WARC-Record-ID")).split(": ")[1] for head in heads]
+    named = [h.split(": ")[1] for head in heads for h in head if h.startswith("WARC-Refers-To:")]
+    assert len(set(own)) == len(rows) and len(named) == 3 and set(named) <= set(own)
     got = warc.read_archives(archives, payloads=True).collect()
     assert len(got) == len(rows)
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
@@ -255,6 +337,25 @@ def test_poisson(spark):
     assert abs(np.mean(many) - 100) < 1.5 and abs(np.var(many) - 100) < 15
 
 
+def test_mix_columns_are_kept(spark):
+    names = ["doc_id", "text", "source", "__n", "__copy", "__place", "__source", "__rate", "__table", "__draws", "row", "id", "own", "place", "copy", "n_copies", "rate", "table", "at", "salt"]
+    df = spark.createDataFrame([(i, "t" * (i % 7), f"s{i % 3}", *[f"{c}{i}" for c in names[3:]]) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names[3:]))
+    plain = sorted(r.doc_id for r in mixing.mix(df.select("doc_id", "text", "source")).collect())
+    got = mixing.mix(df).collect()
+    assert sorted(r.doc_id for r in got) == plain and all(tuple(r)[3:] == tuple(f"{c}{r.doc_id}" for c in names[3:]) for r in got)
+    told = mixing.mix(df, details=True)
+    assert told.columns == [*names, "rate_", "n_copies_", "copy_", "place_"] and told.count() == len(plain)
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Beyond the table that is broadcast, the same mixture comes by salted keys."""
+    df = docs(spark, [(i, "x" * (i % 50), f"s{i % 40 if i % 3 else 0}" if i % 20 else None) for i in range(600)])
+    rows = lambda: sorted(map(str, mixing.mix(df, details=True).select("doc_id", "source", "copy", "place").collect()))
+    want = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert rows() == want
+
+
 def test_mix_edges(spark):
     df = docs(spark, [(1, None, None), (1, None, None), (None, "", "a"), (2, "x" * 200_000, "a")]).withColumnRenamed("lang", "rate")
     got = mixing.mix(df)
@@ -276,12 +377,14 @@ def test_pipeline(spark, tmp_path):
         words = [f"{rng.choice(['am', 'be', 'co', 'du'])}{rng.randrange(500)}" for _ in range(80)]
         rows.append((10 * i, " ".join(words) + ".", f"s{i % 3}"))
         rows.append((10 * i + 1, " ".join(words[:-1]) + " changed.", f"s{i % 3}"))
+    rows[0] = (0, rows[0][1] + "\nRead more", "s0")  # a line that goes
     rows += [(1000, "too short.", "s0"), (1001, None, "s0"), (1002, "Home | About | Login\n" * 40, "s1"), (1003, PROSE, None)]
     df = docs(spark, rows).withColumnRenamed("lang", "kept")
     sf = write(spark, tmp_path, df)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "near_duplicates", "source_mix", "packing"]
-    good = {i: (t, s) for i, t, s in rows if quality.figures([t or ""], quality.LEAST_KEPT)[0][10]}
+    rows_ = [(i, quality.figures([t or ""], quality.LEAST_KEPT)[0], s) for i, t, s in rows]
+    good = {i: (f[11], s) for i, f, s in rows_ if f[10]}
     kept = {i for i, (_, c) in brute([(i, t) for i, (t, _) in good.items()], 5, 80).items() if i == c}
     docs_, steps = spark.read.parquet(f"{sf}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES[:2]:
@@ -289,6 +392,7 @@ def test_pipeline(spark, tmp_path):
         assert docs_.columns == df.columns
         steps.append({r.doc_id for r in docs_.collect()})
     assert steps == [set(good), kept] and 1003 in kept and len(kept) == 31
+    assert {r.doc_id: (r.text, r.n_chars) for r in docs_.collect()} == {i: (good[i][0], len(good[i][0])) for i in kept} and not any("Read more" in t for t, _ in good.values())
     copies = Counter(r.doc_id for r in mixing.mix(docs_, seed=17).collect())
     tokens_ = {i: len(raw) // 4 for i, raw in zip(kept, library(WORDS, [good[i][0] for i in kept]))}
     got = Counter()

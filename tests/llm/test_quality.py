@@ -54,6 +54,31 @@ def test_lines(line, rule):
     assert quality.judge_line(line, len(line.split()), False) == rule
 
 
+@pytest.mark.parametrize("line, rule", [("Lire la suite", "navigation"), ("Mapa del sitio", "navigation"), ("Alle Rechte vorbehalten.", "boilerplate"), ("Términos del servicio.", "boilerplate"), ("Se rminos y vuelve.", None)])
+def test_lines_of_other_languages(line, rule):
+    assert quality.judge_line(line, len(line.split()), False) == rule
+    assert (quality.clean(line)[1] == 0) == (rule is not None)  # the look at the whole text hides no phrase
+
+
+@settings(max_examples=200)
+@given(st.sampled_from([*quality.phrases(quality.MENU_PHRASES), *quality.phrases(quality.NOTICE_PHRASES)]), st.sampled_from([str, str.upper, str.title, lambda x: x.replace("i", "\u0130").replace("s", "\u017f")]))
+def test_fragments_hide_no_phrase(phrase, case):
+    import re
+
+    plain = re.sub(r"\(\?:(.*?)\|.*?\)", r"\1", re.sub(r"\[(.).*?\]", r"\1", phrase)).replace(".", "-")
+    line = case(plain)
+    assert quality.clean(line)[3] == {r: int(r == quality.judge_line(line, len(line.split()), False)) for r in quality.RULES}
+
+
+def test_cleaned_texts_and_clashing_names(spark):
+    df = docs(spark, [(1, PROSE + "\nRead more"), (2, "short."), (None, PROSE)]).withColumnRenamed("lang", "kept").withColumnRenamed("source", "n_words")
+    good = quality.keep_good(df, cleaned=True, length="n_chars")
+    assert good.columns == df.columns and sorted((r.doc_id or 0, r.text, r.n_chars, r.n_words) for r in good.collect()) == [(0, PROSE, len(PROSE), "s"), (1, PROSE, len(PROSE), "s")]
+    told = quality.judge(df, keep=["doc_id", "kept", "n_words", "n_chars"])
+    assert told.columns[:5] == ["doc_id", "kept", "n_words", "n_chars", "n_words_"] and told.columns[-1] == "kept_"
+    assert {(r.doc_id, r.n_words, r.kept_) for r in told.collect()} == {(1, "s", True), (2, "s", False), (None, "s", True)}
+
+
 def test_edges(spark):
     menu = "\n".join(["Home | News | Sport | Login"] * 30)
     df = docs(spark, [(1, None), (2, ""), (3, PROSE), (3, PROSE), (4, PROSE + "\n" + menu), (5, PROSE + "\nAll rights reserved."), (None, PROSE), (6, (PROSE + "\n") * 400), (7, " ".join(f"w{i}" for i in range(300_000)) + ".")])
