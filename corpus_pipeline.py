@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.  All
 but the last return the columns that they were given.  Defined results: a stage passes every column on, whatever its
-name; a null text fails the quality rules; an empty table stays empty; the last stage returns pieces.
+name; a null text fails the quality rules; where ids repeat or are missing, one row of each class of texts stays; texts
+are read whole, whatever their length; an empty table stays empty; the last stage returns pieces.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from tidemark.llm import jaccard, mixing, packing, quality
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.scratch import materialise
 
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, as they were."""
-    return quality.keep_good(docs, text="text")
+    """Documents that the line-first rules keep, without the lines that failed."""
+    return quality.keep_good(docs, text="text", cleaned=True, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
