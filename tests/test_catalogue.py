@@ -39,6 +39,29 @@ def test_folds_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_fetch_reads_a_range_of_files(spark, sf_dir):
+    """The stored log takes offsets and partitions to the files."""
+    from tidemark.plans.logview import load
+
+    plan = load(spark, sf_dir).where("partition = 2 AND offset >= 100 AND offset < 120")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(offset,100)" in plan and "PartitionFilters: [isnotnull(partition" in plan
+
+
+def test_invariants_tell_broken_logs(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from tidemark.operators import scan, transactions, watermarks
+    from tidemark.plans.logview import load
+
+    log = load(spark, sf_dir)
+    marks = watermarks.watermarks(log).withColumn("lso", F.col("hw") + 1)
+    assert marks.where("lso > hw OR hw > leo").count() == 4
+    bad = transactions.aborted_ranges(log)
+    shown = scan.read_committed(log, aborted=bad.limit(0))  # a reader that forgot the aborted ranges
+    assert shown.join(bad, ["partition", "producer_id", "producer_epoch"]).count() > 0
+    twice = log.unionAll(log.where("is_control")).where("is_control").groupBy("partition", "producer_id", "producer_epoch").count()
+    assert twice.where("count > 1").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

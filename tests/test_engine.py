@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.engine import LogStore
-from tidemark.operators import coordinator
+from tidemark.engine import ConflictingAppend, LogStore
+from tidemark.functions.ranges import numbered
+from tidemark.operators import append, coordinator, scan, watermarks
 from tidemark.sources import recordbatch as rb
 
 
@@ -23,6 +24,56 @@ def test_round_trip(spark, tmp_path):
     assert len(got) == 110 and len({(r.partition, r.offset) for r in got}) == 110
     assert store.fetch("t", 10, 12).count() == 4
     assert {r.offset for r in store.list_offsets("t", 500).collect()} == {25}
+    assert store.fetch("t", 55, partition=0).count() == 0 and store.fetch("t", 54, partition=1).count() == 1
+    for start in (56, 10_000):
+        with pytest.raises(scan.OffsetOutOfRange):
+            store.fetch("t", start)
+    with pytest.raises(append.InvalidRecords):
+        store.append(rows(spark, 4).withColumn("ts_ms", F.lit(None).cast("long")), 9)
+    assert store.log("t").count() == 110
+    plan = store.fetch("t", 10, 12)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(offset,10)" in plan and "LessThan(offset,12)" in plan  # pushed to the files
+
+
+def test_of_two_appends_one_is_refused(spark, tmp_path, monkeypatch):
+    one, two = (LogStore(spark, f"file://{tmp_path}/log9") for _ in range(2))
+    one.append(rows(spark, 10), 1)
+    planned = two.version()
+    one.append(rows(spark, 6), 2)
+    monkeypatch.setattr(two, "version", lambda: planned)  # it looked before the other append
+    with pytest.raises(ConflictingAppend):
+        two.append(rows(spark, 8), 3)
+    assert one.log().count() == 16  # what was refused is not seen
+    monkeypatch.undo()
+    assert sorted(r.base for r in two.append(rows(spark, 8), 3).collect()) == [8, 8] and one.log().count() == 24
+
+
+def test_numbers_of_a_hot_key(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("k"), (F.col("id") * 7919 % 5000).alias("o"))
+    got = numbered(df, ["k"], "o", "n", 16).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.o):
+        assert r.n == by.get(r.k, 0)
+        by[r.k] = r.n + 1
+    assert len(got) == 5000 and numbered(df.limit(0), ["k"], "o", "n").count() == 0
+
+
+def test_subscription_refuses_a_bad_pattern(spark):
+    topics = spark.createDataFrame([("a",), ("ab",)], "topic string")
+    assert {r.topic for r in scan.subscribed(topics, [], "a.").collect()} == {"ab"}
+    with pytest.raises(scan.InvalidRequest):
+        scan.subscribed(topics, [], "a(")
+
+
+def test_epoch_history_is_trimmed_as_it_grows(spark):
+    for n in (3, 10, 11, 15, 16, 21, 47):
+        kept = []
+        for epoch in range(n):
+            kept.append(epoch)
+            if len(kept) > 10:
+                kept = kept[5:]
+        df = spark.range(n).select(F.lit(0).alias("partition"), F.col("id").alias("epoch"), F.col("id").alias("start"))
+        assert sorted(r.epoch for r in watermarks.trimmed_epochs(df, 10, 5).collect()) == kept
 
 
 def test_transactions_and_offsets(spark, tmp_path):

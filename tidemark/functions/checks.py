@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Reflected polynomial of CRC-32C (a fixed value).
 CASTAGNOLI = 0x82F63B78
@@ -112,3 +113,29 @@ def is_control(attributes: Column) -> Column:
 def topic_id(name: Column, version: Column) -> Column:
     """A 128-bit id of a topic and the version that created it, as hex."""
     return F.substring(F.sha2(F.concat_ws("\0", name, version.cast("string")), 256), 1, 32)
+
+
+def varint_size(value: Column) -> Column:
+    """Bytes that an unsigned varint takes: one for every seven bits."""
+    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / 7)).cast("int")
+
+
+def buffer_class(size: Column) -> Column:
+    """The smallest power of two from 4 KiB on that holds ``size``, and 16 MiB at most."""
+    classes = F.array(*[F.lit(1 << k).cast("long") for k in range(12, 25)])
+    return F.coalesce(F.get(F.filter(classes, lambda c: c >= size), F.lit(0)), F.lit(1 << 24).cast("long"))
+
+
+def with_crc32c(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the CRC-32C of a column of strings or bytes, many at a time; a null has none."""
+    import pyarrow as pa
+
+    place, schema = df.columns.index(column), StructType([*df.schema.fields, StructField(name, LongType())])
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(place).cast(pa.binary()).to_pylist()
+            sums = iter(crc32c_many([x for x in raw if x is not None]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else next(sums) for x in raw], pa.int64())], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)

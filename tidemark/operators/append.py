@@ -10,10 +10,14 @@ from pyspark.sql.window import Window
 REMEMBERED = 5
 
 
+class InvalidRecords(ValueError):
+    """Rows that an append refuses as a whole, before anything is written."""
+
+
 def assign_offsets(batch_rows: DataFrame, ends: DataFrame) -> DataFrame:
     """Base offsets behind each partition's end, in order of ``seq``.  ``ends``: partition, leo."""
     before = Window.partitionBy("partition").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    joined = batch_rows.join(F.broadcast(ends), "partition", "left")
+    joined = batch_rows.join(ends, "partition", "left")
     return joined.withColumn("base_offset", F.coalesce("leo", F.lit(0)) + F.coalesce(F.sum("records").over(before), F.lit(0))).withColumn("last_offset", F.col("base_offset") + F.col("records") - 1).drop("leo")
 
 
@@ -86,3 +90,23 @@ def idempotent(writes: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["partition", "producer_id", "seq", "status", "base"])
 
     return writes.groupBy("partition", "producer_id").applyInPandas(run, "partition long, producer_id long, seq long, status string, base long")
+
+
+#: Error numbers of the protocol (fixed values).
+UNKNOWN_TOPIC, NOT_ENOUGH_REPLICAS, INVALID_ACKS, NOT_ALLOWED, STORAGE_ERROR = 3, 19, 21, 29, 56
+
+
+def produce_status(requests: DataFrame) -> DataFrame:
+    """Adds ``error``: what a write is refused for before anything is appended, else 0.
+
+    ``requests``: acks, known (the topic or id has a route), allowed, read_only (the disk is full), enough_replicas.
+    """
+    error = F.when(~F.col("acks").isin(-1, 0, 1), INVALID_ACKS).when(~F.col("known"), UNKNOWN_TOPIC).when(~F.col("allowed"), NOT_ALLOWED).when(F.col("read_only"), STORAGE_ERROR)
+    return requests.withColumn("error", error.when((F.col("acks") == -1) & ~F.col("enough_replicas"), NOT_ENOUGH_REPLICAS).otherwise(0))
+
+
+def trusted_segments(segments: DataFrame) -> DataFrame:
+    """Adds ``trusted``: recovery need not read a segment whose size is the recorded one and which begins where the
+    one before ends.  ``segments``: partition, base, last_offset, bytes, recorded_bytes."""
+    before = F.lag("last_offset").over(Window.partitionBy("partition").orderBy("base"))
+    return segments.withColumn("trusted", (F.col("recorded_bytes") == F.col("bytes")) & F.coalesce(before + 1 == F.col("base"), F.lit(True)))

@@ -69,6 +69,30 @@ def look_up(requested: DataFrame | None, topics: DataFrame) -> DataFrame:
 
 def routes(requests: DataFrame, partitions: DataFrame) -> DataFrame:
     """Requests by topic name or id sent to their partition's leader; -1 where there is none."""
-    by = F.broadcast(partitions.select(F.col("topic").alias("r_topic"), F.col("topic_id").alias("r_id"), F.col("partition").alias("r_partition"), "leader"))
-    same = ((F.col("topic") == F.col("r_topic")) | (F.col("topic").isNull() & (F.col("topic_id") == F.col("r_id")))) & (F.col("partition") == F.col("r_partition"))
-    return requests.join(by, same, "left").select(*requests.columns, F.coalesce("leader", F.lit(-1)).alias("leader"))
+    by = partitions.select(F.col("topic").alias("r_topic"), F.col("topic_id").alias("r_id"), F.col("partition").alias("r_partition"), "leader")
+
+    def found(rows: DataFrame, own: str, other: str) -> DataFrame:
+        same = (F.col(own) == F.col(other)) & (F.col("partition") == F.col("r_partition"))
+        return rows.join(by, same, "left").select(*requests.columns, F.coalesce("leader", F.lit(-1)).alias("leader"))
+
+    return found(requests.where("topic IS NOT NULL"), "topic", "r_topic").unionAll(found(requests.where("topic IS NULL"), "topic_id", "r_id"))
+
+
+def in_request_order(done: DataFrame) -> DataFrame:
+    """When each response leaves: not before those of all earlier requests of its connection.  ``done``: connection,
+    seq, done_ms."""
+    order = Window.partitionBy("connection").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return done.select("connection", "seq", F.max("done_ms").over(order).alias("sent_ms"))
+
+
+def fields_of_versions(fields: DataFrame, low: int, high: int) -> DataFrame:
+    """The fields that each protocol version from ``low`` to ``high`` has in its body: those of its range that are not
+    tagged.  ``fields``: field, first_version, last_version, tagged."""
+    first, last = F.greatest("first_version", F.lit(low).cast("long")), F.least("last_version", F.lit(high).cast("long"))
+    return fields.where(~F.col("tagged") & (first <= last)).select("field", F.explode(F.sequence(first, last)).alias("version"))
+
+
+def marker_routes(transactions: DataFrame, leaders: DataFrame, node: int) -> DataFrame:
+    """Where each partition's marker goes: to a local log or to its leader's node.  ``leaders``: partition, leader."""
+    joined = transactions.join(leaders, "partition", "left")
+    return joined.withColumn("route", F.when(F.col("leader").isNull(), "unknown").when(F.col("leader") == node, "local").otherwise("remote"))

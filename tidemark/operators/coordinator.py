@@ -64,8 +64,7 @@ def timed_out(states: DataFrame, now_ms: int) -> DataFrame:
 
 def newer_image(records: DataFrame, known: int) -> DataFrame:
     """The whole metadata log if it goes beyond the caller's version, else nothing."""
-    newest = records.agg(F.max("version").alias("_newest"))
-    return records.join(F.broadcast(newest), on=F.col("_newest") > F.lit(known)).drop("_newest")
+    return records.where(records.agg(F.max("version")).scalar() > F.lit(known))
 
 
 def topic_configs(requests: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def range_assign(members: DataFrame, topics: DataFrame, compat: bool = False) ->
         seats = members.select("group", "member", "topic").distinct()
         own = Window.partitionBy("group", "topic")
         seats = seats.withColumn("rank", F.row_number().over(own.orderBy("member")) - 1).withColumn("n", F.count("*").over(own))
-    joined = seats.join(F.broadcast(topics), "topic")
+    joined = seats.join(topics, "topic")
     size, more = F.floor(F.col("partitions") / F.col("n")), F.col("partitions") % F.col("n")
     first = F.col("rank") * size + F.least(F.col("rank").cast("long"), more.cast("long"))
     count = size + F.when(F.col("rank") < more, 1).otherwise(0)
@@ -52,7 +52,7 @@ def sticky(members: list[str], wanted: dict[str, list[str]], partitions: list[tu
 def sticky_assign(members: DataFrame, topics: DataFrame, owned: DataFrame) -> DataFrame:
     """Sticky assignment per group.  ``members``: group, member, topic; ``owned``: group, topic, partition, member.
     A group's state is its members and partitions, which the group itself bounds."""
-    want = members.join(F.broadcast(topics), "topic").select("group", "member", "topic", "partitions")
+    want = members.join(topics, "topic").select("group", "member", "topic", "partitions")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         wanted = left.groupby("member").topic.apply(set).to_dict()
@@ -69,7 +69,7 @@ def share_rotation(members: DataFrame, topics: DataFrame) -> DataFrame:
     """Of the group's subscribed partitions in order the i-th goes to member i mod n."""
     ranked = members.select("group", "member").distinct().withColumn("seat", F.row_number().over(Window.partitionBy("group").orderBy("member")) - 1)
     sizes = ranked.groupBy("group").agg(F.count("*").alias("n"))
-    parts = members.select("group", "topic").distinct().join(F.broadcast(topics), "topic").where("partitions > 0")
+    parts = members.select("group", "topic").distinct().join(topics, "topic").where("partitions > 0")
     parts = parts.select("group", "topic", F.explode(F.sequence(F.lit(0), F.col("partitions").cast("int") - 1)).alias("partition"))
     parts = parts.withColumn("i", F.row_number().over(Window.partitionBy("group").orderBy("topic", "partition")) - 1).join(sizes, "group")
     return parts.withColumn("seat", F.col("i") % F.col("n")).join(ranked, ["group", "seat"]).select("group", "member", "topic", F.col("partition").cast("long").alias("partition"))
@@ -259,3 +259,8 @@ def share_deliveries(events: DataFrame, lock_ms: int = 30_000, limit: int = 5) -
         return pd.DataFrame(out, columns=["group", "partition", "seq", "offset", "member", "deliveries"])
 
     return events.groupBy("group", "partition").applyInPandas(run, "group string, partition long, seq long, offset long, member string, deliveries int")
+
+
+def membership(members: DataFrame) -> DataFrame:
+    """group, signature: a 64-bit hash of the group's members in order, which tells whether they changed."""
+    return members.groupBy("group").agg(F.xxhash64(F.array_sort(F.collect_set("member"))).alias("signature"))

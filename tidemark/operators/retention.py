@@ -32,7 +32,7 @@ def by_bytes(segments: DataFrame, max_bytes: int) -> DataFrame:
 def delete_records(marks: DataFrame, requests: DataFrame) -> DataFrame:
     """partition, before, status, log_start after the request: below the start nothing happens, beyond the high
     watermark it is refused.  ``marks``: partition, log_start, hw; ``requests``: partition, before (-1: all)."""
-    joined = requests.join(F.broadcast(marks), "partition")
+    joined = requests.join(marks, "partition")
     target = F.when(F.col("before") == -1, F.col("hw")).otherwise(F.col("before"))
     status = F.when(target > F.col("hw"), "out_of_range").when(target <= F.col("log_start"), "unchanged").otherwise("moved")
     return joined.select("partition", "before", status.alias("status"), F.when(status == "moved", target).otherwise(F.col("log_start")).cast("long").alias("log_start"))
@@ -40,7 +40,7 @@ def delete_records(marks: DataFrame, requests: DataFrame) -> DataFrame:
 
 def droppable(segments: DataFrame, starts: DataFrame) -> DataFrame:
     """Whole sealed segments below the log start.  ``starts``: partition, log_start."""
-    return segments.join(F.broadcast(starts), "partition").where((F.col("last_offset") < F.col("log_start")) & F.col("sealed")).drop("log_start")
+    return segments.join(starts, "partition").where((F.col("last_offset") < F.col("log_start")) & F.col("sealed")).drop("log_start")
 
 
 def truncate(batch_rows: DataFrame, offset: int) -> DataFrame:
@@ -62,9 +62,16 @@ def tier_registry(records: DataFrame) -> DataFrame:
 
 def tier_purge(registry: DataFrame, starts: DataFrame, now_ms: int, retention_ms: int) -> DataFrame:
     """Tiered segments below the log start or too old.  ``registry`` needs max_ts."""
-    return registry.join(F.broadcast(starts), "partition").where((F.col("last_offset") < F.col("log_start")) | (F.col("max_ts") < now_ms - retention_ms)).drop("log_start")
+    return registry.join(starts, "partition").where((F.col("last_offset") < F.col("log_start")) | (F.col("max_ts") < now_ms - retention_ms)).drop("log_start")
 
 
 def tier_orphans(objects: DataFrame, records: DataFrame, now_ms: int, grace_ms: int) -> DataFrame:
     """Objects that no record names and that are older than the grace time.  ``objects``: key, mtime_ms."""
     return objects.where(F.col("mtime_ms") < now_ms - grace_ms).join(records.select("key"), "key", "left_anti").select("key")
+
+
+def tier_uploads(segments: DataFrame, registered: DataFrame, epoch: int) -> DataFrame:
+    """The sealed segments that the tier doesn't have yet, with their object's key: an upload writes the object, then
+    its record, then lets go of the local copy.  ``registered``: partition, base."""
+    name = F.concat(F.col("partition"), F.lit("/"), F.lpad(F.col("base").cast("string"), 20, "0"), F.lit("-"), F.lit(epoch))
+    return segments.where("sealed").join(registered, ["partition", "base"], "left_anti").select("partition", "segment", name.alias("key"), "bytes")

@@ -19,16 +19,20 @@ def decide(requests: DataFrame, acls: DataFrame, superusers: list[str] | None =
     """
     if not enabled:
         return requests.withColumn("allowed", F.lit(True))
-    numbered = requests.withColumn("_id", F.monotonically_increasing_id())
-    a = F.broadcast(acls.select(*[F.col(c).alias(f"a_{c}") for c in ("resource_type", "resource_name", "pattern_type", "principal", "operation", "permission", "host")]))
-    name = ((F.col("a_pattern_type") == LITERAL) & F.col("a_resource_name").isin("*")) | ((F.col("a_pattern_type") == LITERAL) & (F.col("a_resource_name") == F.col("resource_name")))
-    name = name | ((F.col("a_pattern_type") == PREFIXED) & F.col("resource_name").startswith(F.col("a_resource_name")))
-    who = F.col("a_principal").isin("User:*") | (F.col("a_principal") == F.col("principal"))
-    what = (F.col("a_operation") == ALL_OPERATIONS) | (F.col("a_operation") == F.col("operation"))
-    hits = numbered.join(a, (F.col("a_resource_type") == F.col("resource_type")) & name & who & what & (F.col("a_host") == "*"), "left")
-    sums = hits.groupBy("_id", *requests.columns).agg(F.max(F.col("a_permission") == DENY).alias("_deny"), F.max(F.col("a_permission") == ALLOW).alias("_allow"))
+    asked = requests.select("principal", "resource_type", "resource_name", "operation").distinct()
+    # what an entry may say to fit: the name, the star or a prefix of the name; the principal or all; the operation or all
+    name = F.col("resource_name")
+    literal = F.transform(F.array(name, F.lit("*")), lambda n: F.struct(F.lit(LITERAL).alias("pattern_type"), n.alias("name")))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda n: F.struct(F.lit(PREFIXED).alias("pattern_type"), F.substring(name, F.lit(1), n).alias("name")))
+    tried = asked.select("*", F.explode(F.array_distinct(F.concat(literal, prefixes))).alias("_n"))
+    tried = tried.select("*", F.explode(F.array_distinct(F.array("principal", F.lit("User:*")))).alias("_p"))
+    tried = tried.select("*", F.explode(F.array_distinct(F.array(F.col("operation").cast("int"), F.lit(ALL_OPERATIONS)))).alias("_o"))
+    entries = acls.where(F.col("host") == "*").select(*[F.col(c).alias(f"a_{c}") for c in ("resource_type", "resource_name", "pattern_type", "principal", "operation", "permission")])
+    same = (F.col("a_resource_type") == F.col("resource_type")) & (F.col("a_pattern_type") == F.col("_n.pattern_type")) & (F.col("a_resource_name") == F.col("_n.name")) & (F.col("a_principal") == F.col("_p")) & (F.col("a_operation") == F.col("_o"))
+    sums = tried.join(entries, same).groupBy("principal", "resource_type", "resource_name", "operation").agg(F.max(F.col("a_permission") == DENY).alias("_deny"), F.max(F.col("a_permission") == ALLOW).alias("_allow"))
+    met = requests.join(sums, ["principal", "resource_type", "resource_name", "operation"], "left")
     free = F.col("principal").isin(superusers or [])
-    return sums.select(*requests.columns, (free | (F.coalesce("_allow", F.lit(False)) & ~F.coalesce("_deny", F.lit(False)))).alias("allowed"))
+    return met.select(*requests.columns, (free | (F.coalesce("_allow", F.lit(False)) & ~F.coalesce("_deny", F.lit(False)))).alias("allowed"))
 
 
 def describe(acls: DataFrame, resource_type: int | None = None, resource_name: str | None = None, principal: str | None = None) -> DataFrame:

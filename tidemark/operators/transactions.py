@@ -37,7 +37,7 @@ def producer_state(log: DataFrame) -> DataFrame:
 def fenced(writes: DataFrame, fences: DataFrame) -> DataFrame:
     """Adds ``rejected``: a transactional write of an epoch below the producer's newest marker epoch, or while a
     marker is in flight.  ``fences``: partition, producer_id, marker_epoch, in_flight."""
-    joined = writes.join(F.broadcast(fences), ["partition", "producer_id"], "left")
+    joined = writes.join(fences, ["partition", "producer_id"], "left")
     bad = F.coalesce((F.col("marker_epoch") > F.col("producer_epoch")) | F.col("in_flight"), F.lit(False))
     return joined.withColumn("rejected", F.col("is_txn") & bad).drop("marker_epoch", "in_flight")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def open_transactions(log: DataFrame) -> DataFrame:
@@ -52,10 +53,19 @@ def epoch_end_offsets(epochs: DataFrame, requests: DataFrame, ends: DataFrame) -
 
     ``epochs``: partition, epoch, start; ``requests``: partition, requested; ``ends``: partition, leo.
     """
-    from pyspark.sql.window import Window
-
     spans = epochs.withColumn("next_start", F.lead("start").over(Window.partitionBy("partition").orderBy("epoch")))
-    spans = spans.join(F.broadcast(ends), "partition").select("partition", "epoch", F.coalesce("next_start", "leo").alias("end_offset"))
-    matched = requests.join(spans, "partition", "left").where("epoch <= requested")
-    best = matched.groupBy("partition", "requested").agg(F.max_by(F.struct("epoch", "end_offset"), "epoch").alias("m"))
-    return requests.join(best, ["partition", "requested"], "left").select("partition", "requested", F.coalesce("m.epoch", F.lit(-1)).cast("long").alias("epoch"), F.coalesce("m.end_offset", F.lit(-1)).cast("long").alias("end_offset"))
+    spans = spans.join(ends, "partition").select("partition", "epoch", F.coalesce("next_start", "leo").alias("end_offset"))
+    # an as-of look-up: requests stand behind the epochs up to them, in one order
+    both = spans.select("partition", F.col("epoch").alias("at"), F.struct("epoch", "end_offset").alias("span"), F.lit(False).alias("asks")).unionByName(requests.select("partition", F.col("requested").alias("at"), F.lit(None).cast("struct<epoch: bigint, end_offset: bigint>").alias("span"), F.lit(True).alias("asks")))
+    order = Window.partitionBy("partition").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("span", F.last("span", ignorenulls=True).over(order)).where("asks")
+    return met.select("partition", F.col("at").alias("requested"), F.coalesce("span.epoch", F.lit(-1)).cast("long").alias("epoch"), F.coalesce("span.end_offset", F.lit(-1)).cast("long").alias("end_offset"))
+
+
+def trimmed_epochs(epochs: DataFrame, most: int = 1000, drop: int = 500) -> DataFrame:
+    """The epoch history as it is kept: whenever it grows beyond ``most`` entries, the oldest ``drop`` go.  After n
+    entries that has happened once for every ``drop`` begun beyond ``most``.  ``epochs``: partition, epoch, start."""
+    own = Window.partitionBy("partition")
+    n = F.count("*").over(own)
+    gone = F.when(n > most, drop * (F.floor((n - most - 1) / drop) + 1)).otherwise(0)
+    return epochs.withColumn("_gone", gone).withColumn("_place", F.row_number().over(own.orderBy("epoch"))).where("_place > _gone").drop("_gone", "_place")

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tidemark.functions.ranges import numbered
+from tidemark.operators import transactions, watermarks
+from tidemark.sources.stored import stored
 
 PARTITIONS, BATCH_ROWS, WINDOW_BATCHES, PRODUCERS = 4, 10, 6, 3
 PLAIN_PRODUCER = 1002
+WINDOW_ROWS, MARKERS = BATCH_ROWS * WINDOW_BATCHES, PRODUCERS - 1
 
 
 def div(a, n: int):
@@ -20,7 +24,11 @@ def div(a, n: int):
 
 def log_view(events: DataFrame) -> DataFrame:
     """partition, offset, n, batch, win, producer_id, producer_epoch, is_txn, is_control, control_type, is_open,
-    ts_ms, key, value, bytes."""
+    ts_ms, key, value, bytes.
+
+    A closed window has all its rows, so all its producers: offsets follow from a row's number, and a window's last
+    row brings its markers.
+    """
     rows = events.select(
         F.col("event_id"),
         F.pmod("user_id", F.lit(PARTITIONS)).alias("partition"),
@@ -28,31 +36,43 @@ def log_view(events: DataFrame) -> DataFrame:
         F.col("props").alias("value"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
     )
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("partition").orderBy("event_id")).cast("long") - 1)
+    rows = numbered(rows, ["partition"], "event_id", "n").drop("event_id")
     rows = rows.withColumn("batch", div(F.col("n"), BATCH_ROWS)).withColumn("win", div(F.col("batch"), WINDOW_BATCHES))
-    rows = rows.withColumn("producer_id", F.lit(1000) + F.pmod("batch", F.lit(PRODUCERS)))
     last = rows.groupBy("partition").agg(F.max("win").alias("last_win"))
-    rows = rows.join(F.broadcast(last), "partition").withColumn("is_open", F.col("win") == F.col("last_win"))
-    ends = rows.where("NOT is_open").groupBy("partition", "win").agg(F.max("n").alias("n"), F.max("ts_ms").alias("ts_ms"))
-    writers = rows.where(~F.col("is_open") & (F.col("producer_id") != PLAIN_PRODUCER)).select("partition", "win", "producer_id").distinct()
-    markers = writers.join(ends, ["partition", "win"]).select(
-        "partition", "n", "win", "producer_id", "ts_ms",
-        F.when((F.col("partition") + F.col("win") + F.col("producer_id")) % 4 == 0, 0).otherwise(1).alias("control_type"),
+    rows = rows.join(last, "partition").withColumn("is_open", F.col("win") == F.col("last_win")).drop("last_win")
+    offset = F.col("n") + MARKERS * F.col("win")
+    data = rows.select(
+        "partition", offset.alias("offset"), "n", "batch", "win", (F.lit(1000) + F.pmod("batch", F.lit(PRODUCERS))).alias("producer_id"), F.lit(False).alias("is_control"), F.lit(None).cast("int").alias("control_type"),
+        "is_open", "ts_ms", "key", "value", (F.length("key") + F.length("value")).cast("long").alias("bytes"),
     )
-    data = rows.select("partition", "n", "batch", "win", "producer_id", "ts_ms", "key", "value", "is_open", F.lit(False).alias("is_control"), F.lit(None).cast("int").alias("control_type"))
+    ends = rows.where(~F.col("is_open") & (F.pmod("n", F.lit(WINDOW_ROWS)) == WINDOW_ROWS - 1))
+    ends = ends.withColumn("producer_id", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1000 + MARKERS - 1).cast("long"))))
     none = F.lit(None).cast("string")
-    control = markers.select("partition", "n", F.lit(None).cast("long").alias("batch"), "win", "producer_id", "ts_ms", none.alias("key"), none.alias("value"), F.lit(False).alias("is_open"), F.lit(True).alias("is_control"), "control_type")
-    order = Window.partitionBy("partition").orderBy("win", "is_control", "n", "producer_id")
-    log = data.unionByName(control).withColumn("offset", F.row_number().over(order).cast("long") - 1)
-    size = F.when(F.col("is_control"), 0).otherwise(F.length("key") + F.length("value")).cast("long")
+    kind = F.when((F.col("partition") + F.col("win") + F.col("producer_id")) % 4 == 0, 0).otherwise(1)
+    control = ends.select(
+        "partition", (offset + 1 + F.col("producer_id") - 1000).alias("offset"), "n", F.lit(None).cast("long").alias("batch"), "win", "producer_id", F.lit(True).alias("is_control"), kind.alias("control_type"),
+        "is_open", "ts_ms", none.alias("key"), none.alias("value"), F.lit(0).cast("long").alias("bytes"),
+    )
+    log = data.unionByName(control)
     return log.select(
         "partition", "offset", "n", "batch", "win", "producer_id", F.col("win").alias("producer_epoch"),
-        (F.col("producer_id") != PLAIN_PRODUCER).alias("is_txn"), "is_control", "control_type", "is_open", "ts_ms", "key", "value", size.alias("bytes"),
+        (F.col("producer_id") != PLAIN_PRODUCER).alias("is_txn"), "is_control", "control_type", "is_open", "ts_ms", "key", "value", "bytes",
     )
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_view(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The log as it is stored: folders by partition, files by ranges of offsets."""
+    return stored(spark, f"log {sf_dir}", lambda: log_view(spark.read.parquet(f"{sf_dir}/events.parquet")), ["partition"], ["offset"])
+
+
+def kept_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's watermarks as a store keeps them beside it, a row a partition."""
+    return stored(spark, f"marks {sf_dir}", lambda: watermarks.watermarks(load(spark, sf_dir)))
+
+
+def kept_aborts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's aborted ranges as a store keeps them beside it."""
+    return stored(spark, f"aborts {sf_dir}", lambda: transactions.aborted_ranges(load(spark, sf_dir)))
 
 
 #: The same view for DuckDB: put in front of a query that reads ``log``.

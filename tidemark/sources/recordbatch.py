@@ -218,20 +218,76 @@ def recovered(batches: DataFrame) -> DataFrame:
 RECORDS = "base_offset long, offset long, ts_ms long, key binary, value binary, headers array<struct<key: binary, value: binary>>, producer_id long, producer_epoch int, sequence int, is_txn boolean, is_control boolean, control_type int"
 
 
-def explode_records(batches: DataFrame) -> DataFrame:
-    """Batches to records, once; everything behind stays columnar."""
+def explode_records(batches: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Batches to records, once; everything behind stays columnar.  Columns ``keep`` of the batches go with them."""
+    keep = keep or []
     pair = pa.struct([("key", pa.binary()), ("value", pa.binary())])
     schema = pa.schema([("base_offset", pa.int64()), ("offset", pa.int64()), ("ts_ms", pa.int64()), ("key", pa.binary()), ("value", pa.binary()), ("headers", pa.list_(pair)), ("producer_id", pa.int64()), ("producer_epoch", pa.int32()), ("sequence", pa.int32()), ("is_txn", pa.bool_()), ("is_control", pa.bool_()), ("control_type", pa.int32())])
+    source = batches.select(*keep, "data")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for data in batch.column(0).to_pylist():
-                h = read_header(data)
-                control = bool(h.attributes & CONTROL)
-                found = [{"base_offset": h.base_offset, "offset": h.base_offset + r.offset_delta, "ts_ms": h.first_timestamp + r.ts_delta, "key": r.key, "value": r.value, "headers": [{"key": k, "value": v} for k, v in r.headers], "producer_id": h.producer_id, "producer_epoch": h.producer_epoch, "sequence": -1 if h.base_sequence < 0 else h.base_sequence + r.offset_delta, "is_txn": bool(h.attributes & TRANSACTIONAL), "is_control": control, "control_type": control_type(r.key) if control else None} for r in decode_records(data, h)]
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found, which = [], []
+                for n, data in enumerate(part.column(len(keep)).to_pylist()):
+                    h = read_header(data)
+                    control = bool(h.attributes & CONTROL)
+                    own = [{"base_offset": h.base_offset, "offset": h.base_offset + r.offset_delta, "ts_ms": h.first_timestamp + r.ts_delta, "key": r.key, "value": r.value, "headers": [{"key": k, "value": v} for k, v in r.headers], "producer_id": h.producer_id, "producer_epoch": h.producer_epoch, "sequence": -1 if h.base_sequence < 0 else h.base_sequence + r.offset_delta, "is_txn": bool(h.attributes & TRANSACTIONAL), "is_control": control, "control_type": control_type(r.key) if control else None} for r in decode_records(data, h)]
+                    found += own
+                    which += [n] * len(own)
+                told = pa.RecordBatch.from_pylist(found, schema=schema)
+                yield pa.RecordBatch.from_arrays([*[part.column(i).take(pa.array(which, pa.int64())) for i in range(len(keep))], *told.columns], names=[*keep, *schema.names])
+
+    return source.mapInArrow(run, kept + RECORDS)
+
+
+def encode_rows(log: DataFrame, compression) -> DataFrame:
+    """partition, base_offset, data: every batch of a log as bytes, and a control batch for every marker.
+
+    ``log``: partition, offset, batch, ts_ms, key, value, producer_id, producer_epoch, is_txn, is_control,
+    control_type; ``compression``: a column that says how a batch is compressed.  A batch is one group, as large as its
+    writer made it.
+    """
+    own = F.when(F.col("is_control"), F.col("offset"))
+    record = F.struct("offset", "ts_ms", F.encode(F.col("key"), "UTF-8").alias("key"), F.encode(F.col("value"), "UTF-8").alias("value"))
+    first = [F.first(c).alias(c) for c in ("producer_id", "producer_epoch", "is_txn", "is_control", "control_type", "kind")]
+    grouped = log.withColumn("kind", compression).withColumn("own", own).groupBy("partition", "batch", "own").agg(F.array_sort(F.collect_list(record)).alias("records"), *first)
+    schema = pa.schema([("partition", pa.int64()), ("base_offset", pa.int64()), ("data", pa.binary())])
 
-    return batches.select("data").mapInArrow(run, RECORDS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(at, 256).to_pylist():
+                    base = r["records"][0]
+                    if r["is_control"]:
+                        data = encode_marker(r["control_type"], base["offset"], base["ts_ms"], r["producer_id"], r["producer_epoch"])
+                    else:
+                        records = [Record(x["ts_ms"] - base["ts_ms"], x["offset"] - base["offset"], x["key"], x["value"]) for x in r["records"]]
+                        data = encode_batch(records, base["offset"], base["ts_ms"], r["producer_id"], r["producer_epoch"], 0, r["kind"] | (TRANSACTIONAL if r["is_txn"] else 0))
+                    out.append({"partition": r["partition"], "base_offset": base["offset"], "data": data})
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return grouped.select("partition", "records", "producer_id", "producer_epoch", "is_txn", "is_control", "control_type", "kind").mapInArrow(run, "partition long, base_offset long, data binary")
+
+
+def read_headers(batches: DataFrame, keep: list[str]) -> DataFrame:
+    """The header of each row's batch (column ``data``), and whether its checksum holds."""
+    names = ["base_offset", "last_offset_delta", "record_count", "first_timestamp", "max_timestamp", "producer_id", "producer_epoch", "base_sequence", "attributes", "crc_ok"]
+    kinds = [pa.int64(), *[pa.int32()] * 2, *[pa.int64()] * 3, *[pa.int32()] * 3, pa.bool_()]
+    source = batches.select(*keep, "data")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            raw = batch.column(len(keep)).to_pylist()
+            heads, sums = [read_header(x) for x in raw], crc32c_many([x[SUMMED_FROM:] for x in raw])
+            columns = [[getattr(h, n) for h in heads] for n in names[:-1]] + [[h.crc == c for h, c in zip(heads, sums, strict=True)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*keep, *names])
+
+    return source.mapInArrow(run, kept + "base_offset long, last_offset_delta int, record_count int, first_timestamp long, max_timestamp long, producer_id long, producer_epoch int, base_sequence int, attributes int, crc_ok boolean")
 
 
 def segment_files(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> list[str]:
