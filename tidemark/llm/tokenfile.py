@@ -297,4 +297,4 @@ def read_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 arrays += [pa.array([bytes(p) for p in parts], pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in schema.split(", ")])
 
-    return files.select("part", "tokens_before", "content").mapInArrow(tidy(run), schema)
+    return files.select("part", "tokens_before", "content").mapInArrow(tidy(run, keep="tokens"), schema)
