@@ -114,7 +114,9 @@ def fit(x: np.ndarray, m: int = BOOKS, words: int = WORDS, rounds: int = 2) -> B
             own, starts = np.unique(codes[order, a], return_index=True)
             target[a * k + own] = np.add.reduceat(x[order], starts, axis=0)
         ridge = np.float32(0.1)
-        solved = np.linalg.solve(gram + ridge * np.eye(m * k, dtype=np.float32), target + ridge * found.flat)
+        gram.flat[:: m * k + 1] += ridge  # in place: the matrix is the largest thing that the driver holds
+        solved = np.linalg.solve(gram, target + ridge * found.flat)
+        del gram
         found = Books(solved.reshape(m, k, -1).astype(np.float32))
     return found
 
