@@ -36,8 +36,6 @@ from tidemark.llm.workers import sliced, tidy
 
 MAGIC = b"TIDERP02"
 HEAD = struct.Struct("<8sIIQQQII")  # magic, first nonterminal, rounds, documents, symbols, tokens, rules, bits a symbol
-#: Marks a position whose symbol went into a rule.
-NONE = np.uint32(0xFFFFFFFF)
 FILE_TOKENS = 2_000_000
 #: A rule takes the place of two symbols in the file, so a pair pays from its second use on.
 LEAST_USES = 2
@@ -47,78 +45,77 @@ CACHED = 1_000_000
 
 def groups_of(left: np.ndarray, right: np.ndarray, at: np.ndarray, bits: int, at_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(the distinct pairs as 64-bit keys ascending, how often each occurs, the positions ``at`` in order of pairs)."""
-    left, right = left.astype(np.uint64), right.astype(np.uint64)
+    keys = left.astype(np.uint64)
     if 2 * bits + at_bits <= 64:  # one sort of pair and position together
-        keys = (((left << np.uint64(bits)) | right) << np.uint64(at_bits)) | at.astype(np.uint64)
+        keys <<= np.uint64(bits)
+        keys |= right
+        keys <<= np.uint64(at_bits)
+        keys |= at.view(np.uint64)
         keys.sort()
-        at = (keys & np.uint64((1 << at_bits) - 1)).astype(np.int64)
+        at = (keys & np.uint64((1 << at_bits) - 1)).view(np.int64)
         keys >>= np.uint64(at_bits)
     else:
         bits = 32
-        keys = (left << np.uint64(32)) | right
+        keys <<= np.uint64(32)
+        keys |= right
         order = np.argsort(keys)
         keys, at = keys[order], at[order]
-    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    edges = np.flatnonzero(new)
     first = keys[edges]
     pairs = ((first >> np.uint64(bits)) << np.uint64(32)) | (first & np.uint64((1 << bits) - 1))
-    return pairs, np.diff(np.append(edges, len(keys))), at
+    return pairs, np.diff(edges, append=len(keys)), at
 
 
 def repair(symbols: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(symbols, last marks, rules of each round).  ``last`` marks the last symbol of each document.
 
-    Documents are linked lists, so a round's work follows the positions that may still hold a pair used twice: those
+    Symbols close up after each round.  A round sorts only the positions that may still hold a pair used twice: those
     that held one in the round before, and the neighbours of new symbols."""
-    n = len(symbols)
-    symbols = symbols.copy()
-    after, before = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n, dtype=np.int64)  # n: no neighbour
-    after[last] = n
-    before[np.flatnonzero(last) + 1] = before[0] = n
-    weight, slot = np.zeros(n + 1, np.uint32), np.zeros(n + 1, np.int64)
-    live = np.flatnonzero(after != n).astype(np.int64)
+    symbols, last = symbols.copy(), last.copy()
+    live = ~last
     rounds: list[np.ndarray] = []
-    while len(live):
-        left, right = symbols[live], symbols[after[live]]
+    while len(at := np.flatnonzero(live)):
+        n = len(symbols)
+        left, right = symbols[at], symbols[at + 1]
         # in a run of one symbol every other position can begin a pair
         twin = np.flatnonzero(left == right)
-        run = np.concatenate(([True], after[live[twin[:-1]]] != live[twin[1:]]))[: len(twin)]
-        odd = twin[(np.arange(len(twin)) - np.maximum.accumulate(np.where(run, np.arange(len(twin)), 0))) % 2 == 1]
-        skipped = live[odd]
-        begins = np.ones(len(live), bool)
-        begins[odd] = False
-        pairs, uses, at = groups_of(left[begins], right[begins], live[begins], (base - 1).bit_length(), n.bit_length())
+        count = np.arange(len(twin))
+        odd = twin[(count - np.maximum.accumulate(np.where(np.diff(at[twin], prepend=-2) != 1, count, 0))) % 2 == 1]
+        skipped = at[odd]
+        if len(odd):
+            left, right, at = (np.delete(x, odd) for x in (left, right, at))
+        pairs, uses, places = groups_of(left, right, at, (base - 1).bit_length(), n.bit_length())
         often = uses >= LEAST_USES
-        at, pairs, uses = at[np.repeat(often, uses)], pairs[often], uses[often]
-        if not len(pairs):
+        if not often.any():
             break
-        slot[at] = np.repeat(np.arange(1, len(pairs) + 1, dtype=np.int64), uses)
-        which = slot[live]  # in order of positions from here on; 0: none
-        slot[live] = 0
+        which = np.zeros(n, np.int32)
+        which[places] = np.repeat(np.cumsum(often, dtype=np.int32) * often, uses)  # 0: used once
+        pairs, uses = pairs[often], uses[often]
+        which = which[at]  # in order of positions from here on
+        at, which = at[which > 0], which[which > 0]
         # of overlapping pairs the more frequent wins, by powers of two; a bijective mix orders the others
         mix = (np.arange(len(pairs), dtype=np.uint64) * np.uint64(0x9E3779B1)) & np.uint64((1 << 27) - 1)
-        own = np.concatenate(([np.uint32(0)], (np.frexp(uses)[1].astype(np.uint32) << np.uint32(27)) | mix.astype(np.uint32)))[which]
-        weight[live] = own
-        wins = (weight[before[live]] < own) & (weight[after[live]] < own)
-        weight[live] = 0
+        own = ((np.frexp(uses)[1].astype(np.uint32) << np.uint32(27)) | mix.astype(np.uint32))[which - 1]
+        weight = np.zeros(n + 1, np.uint32)  # the place behind all is before the first as well
+        weight[at] = own
+        wins = (weight[at - 1] < own) & (weight[at + 1] < own)
         used = np.bincount(which[wins], minlength=len(pairs) + 1) >= LEAST_USES
         wins &= used[which]
-        rank = np.cumsum(used, dtype=np.uint32) - np.uint32(1)
-        hit = live[wins]
-        gone = after[hit]
-        behind = after[gone]
-        symbols[hit] = np.uint32(base) + rank[which[wins]]
-        after[gone] = n
-        symbols[gone] = NONE
-        after[hit] = behind
-        before[behind] = hit
-        marked = np.zeros(n + 1, bool)
-        marked[live[which > 0]] = marked[skipped] = marked[before[hit]] = True
-        marked[:n] &= after != n
-        live = np.flatnonzero(marked[:n]).astype(np.int64)
+        hit = at[wins]
+        rank = np.cumsum(used, dtype=np.uint32) + np.uint32(base - 1)
+        symbols[hit] = rank[which[wins]]
+        last[hit] = last[hit + 1]
+        live = np.zeros(n, bool)
+        live[at] = live[skipped] = live[hit - 1] = True  # the one before the first is the last of all, which ends
+        stays = np.ones(n, bool)
+        stays[hit + 1] = False
+        symbols, last, live = symbols[stays], last[stays], live[stays]
+        live &= ~last
         rounds.append(pairs[used[1:]])
         base += len(rounds[-1])
-    stays = symbols != NONE
-    return symbols[stays], after[stays] == n, rounds
+    return symbols, last, rounds
 
 
 def sizes_of(base: int, rounds: list[np.ndarray]) -> np.ndarray:
