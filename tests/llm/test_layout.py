@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -19,6 +20,7 @@ from tidemark.llm import mixing, packing, queries, sharding, tokenfile, tokens,
 
 WORDS, BYTES = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("byte_bpe_50k.json")
 ODD = ["a  b", "x\n y", " lead", "tail ", "", "it's 'll  12 3", "<|endoftext|> hi", "é ́x", "\t a", "İstanbul ΑΣ ς", "日本 語。 x", "a\x1cb c", "a\nb c\n\nd", "\n", "x\n", "a \nb", "Ünïcode ÀÉ. don't", "e.g. 3.5% (x)", "Foo, BAR!? ab\u00a0cd  ", "ﬁ ﬂ Ⅷ ½"]
+ODD += [f"ab{m}c {m}d éf{m}{n} x{m}{n}'s y'{m}" for m in string.punctuation for n in "'.$_~1é"]
 
 
 ENCODERS = {p: tokens.Encoder(p) for p in (WORDS, BYTES)}

@@ -143,6 +143,26 @@ def expand(symbols: np.ndarray, base: int, rules: np.ndarray, sizes: np.ndarray)
     return out
 
 
+def joined(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``at``, end to end."""
+    skipped = at - (np.cumsum(sizes) - sizes)
+    return flat[np.repeat(skipped, sizes) + np.arange(int(sizes.sum()))]
+
+
+def expand_all(symbols: np.ndarray, base: int, rounds: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """As ``expand``, for many symbols: rules are expanded first, each round's from what stands before it."""
+    ends = np.cumsum(sizes)
+    flat, at = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32), ends - sizes
+    flat[:base] = np.arange(base)
+    done = base
+    for pairs in rounds:
+        sides = np.column_stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))).astype(np.int64).ravel()
+        whole = joined(flat, at[sides], sizes[sides])
+        flat[done : done + len(whole)] = whole
+        done += len(whole)
+    return joined(flat, at[symbols], sizes[symbols])
+
+
 def packed(values: np.ndarray, bits: int) -> bytes:
     """Whole bytes of each value first, then the bits above them."""
     raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)
@@ -209,7 +229,8 @@ class TokenFile:
         cuts = np.cumsum(take("<u4", n_rounds).astype(np.int64))[:-1]
         sides, self.at = unpacked(content, self.at, 2 * n_rules, bits)
         self.rules = (sides[:n_rules].astype(np.uint64) << np.uint64(32)) | sides[n_rules:]
-        self.sizes = sizes_of(self.base, np.split(self.rules, cuts))
+        self.rounds = np.split(self.rules, cuts)
+        self.sizes = sizes_of(self.base, self.rounds)
         nulls, ids = take("u1", n_docs), take("<i8", n_docs)
         self.doc_ids = [None if n else int(i) for n, i in zip(nulls, ids, strict=True)]
         self.first = np.concatenate(([0], np.cumsum(take("<u4", n_docs).astype(np.int64))))
@@ -228,7 +249,7 @@ class TokenFile:
         return expand(own[a:b], self.base, self.rules, self.sizes)[start - skipped : end - skipped]
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.symbols, self.base, self.rules, self.sizes)
+        return expand_all(self.symbols, self.base, self.rounds, self.sizes)
 
 
 def write_files(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:

@@ -28,8 +28,9 @@ LOWERED = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
 ]
-#: Letters, then marks: both vocabularies split these into the letters and the run of marks.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters, then ASCII marks but for the apostrophe, which may begin a piece of its own: both vocabularies split these
+#: into the letters and the run of marks.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Byte-level vocabularies write a byte that prints as itself, and the n-th of the others as chr(256 + n).
 PRINTING = {*range(33, 127), *range(161, 173), *range(174, 256)}
