@@ -44,12 +44,7 @@ s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(ran
 n AS (SELECT doc_id, len(s) AS n FROM s),
 u AS (SELECT doc_id, unnest(s) AS g FROM s),
 l AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
-reach(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.node)
-SELECT n.doc_id, n.n AS n_shingles, min(reach.node) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY ALL
-"""
-
-#: The same with the number of each document's links.
-LINKS = JACCARD.rsplit("\nSELECT", 1)[0] + """,
+reach(doc_id, node) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.node),
 c AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY ALL)
 SELECT n.doc_id, n.n AS n_shingles, min(reach.node) AS component_id, coalesce(max(c.n_links), 0) AS n_links FROM n JOIN reach USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY n.doc_id, n.n
 """
@@ -89,4 +84,4 @@ v AS (SELECT page_id, strlen(html) AS bytes, sha1(html) AS s, list_transform(ran
 SELECT page_id, bytes AS payload_bytes, {LETTERS} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM v
 """
 
-ORACLES = {"op2_quality": QUALITY, "op3_jaccard": JACCARD, "op3_links": LINKS, "op7_sharding": shards(16, 0), "op8_mixing": mixing.ORACLE.format(seed=17), "op10_warc": WARC}
+ORACLES = {"op2_quality": QUALITY, "op3_jaccard": JACCARD, "op7_sharding": shards(16, 0), "op8_mixing": mixing.ORACLE.format(seed=17), "op10_warc": WARC}
