@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import append, cluster, coordinator, groups, offsets, retention, scan, security, transactions, watermarks
-from tidemark.functions import checks
+from tidemark.operators import append, cluster, control, coordinator, groups, offsets, retention, scan, security, transactions, watermarks
+from tidemark.functions import checks, scram
 from tidemark.plans.logview import LOG_SQL, kept_aborts, kept_marks, load
-from tidemark.sources import recordbatch
+from tidemark.sources import controllog, recordbatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -841,6 +841,102 @@ def q_quota_delay(spark, sf_dir):
     return security.bucket_delays(ev.select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("value") * 10).cast("long").alias("bytes")), 50.0)
 
 
+# -- decisions of a node ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT i AS request, CASE WHEN late THEN asked + wait ELSE greatest(asked, ready) END AS sent_ms, late AS timed_out FROM
+(SELECT q.*, l.ts_ms AS ready, coalesce(l.ts_ms > asked + wait, true) AS late FROM
+(SELECT event_id AS i, user_id % 4 AS "partition", event_id // 4 + 5 AS "offset", epoch_us(ts) // 1000 - 400 AS asked, 250 * (event_id % 5) AS wait FROM events) q LEFT JOIN log l USING ("partition", "offset"))""")
+def q_long_poll(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    asked = F.unix_millis(F.col("ts").cast("timestamp")) - 400
+    requests = ev.select(i.alias("request"), (F.col("user_id") % 4).alias("partition"), (F.floor(i / 4) + 5).alias("offset"), asked.alias("asked_ms"), (i % 5 * 250).alias("wait_ms"))
+    ready = load(spark, sf_dir).select("partition", "offset", F.col("ts_ms").alias("ready_ms"))
+    return control.long_polls(requests, ready).select("request", "sent_ms", "timed_out")
+
+
+@query(f"""SELECT i, step, CASE step WHEN 'truncate' THEN lead WHEN 'retry' THEN leo WHEN 'append' THEN base + i % 10 + 1 ELSE nxt END AS then_offset FROM
+(SELECT *, CASE WHEN i % 29 = 0 THEN 'stop' WHEN i % 31 = 0 OR i % 13 = 0 THEN 'wait' WHEN lead < nxt THEN 'truncate' WHEN base IS NULL THEN 'poll' WHEN base <> leo THEN 'retry' ELSE 'append' END AS step FROM
+(SELECT i, i // 4 AS nxt, i // 4 - (i % 7 = 0)::INT AS leo, i // 4 + u % 5 - 1 AS lead, CASE WHEN i % 3 <> 0 THEN i // 4 END AS base FROM {EV}))""", log=False)
+def q_pull_steps(spark, sf_dir):
+    i, at = F.col("i"), F.floor(F.col("i") / 4)
+    came = i % 3 != 0
+    pulls = events(spark, sf_dir).select(
+        "i", at.alias("next_offset"), (at - (i % 7 == 0).cast("long")).alias("local_leo"), (i % 29 == 0).alias("blocked"), (i % 31 == 0).alias("failed"),
+        F.when(i % 13 == 0, 6).otherwise(0).alias("error"), (at + F.col("u") % 5 - 1).alias("leader_next"), F.when(came, at).alias("base"), F.when(came, at + i % 10).alias("last"),
+    )
+    return control.pull_steps(pulls).select("i", "step", "then_offset")
+
+
+@query(f"""SELECT topic, "partition", step, CASE WHEN step IN ('start', 'update') THEN CASE WHEN nl = 1 THEN 'leader' ELSE 'follower' END END AS role,
+coalesce(step = 'update' AND nl = 1 AND ne > oe, false) AS reconcile,
+CASE WHEN step NOT IN ('start', 'update') THEN 'none' WHEN nl = 1 THEN CASE step WHEN 'start' THEN 'none' ELSE 'stop' END WHEN step = 'start' THEN CASE WHEN nl <> 4 THEN 'start' ELSE 'none' END
+WHEN nl <> 4 AND (ol IS NULL OR ol <> nl OR nl = 2 OR ol = 1) THEN 'restart' ELSE 'keep' END AS pull
+FROM (SELECT *, CASE WHEN coalesce(had, false) AND has IS NULL THEN 'drop' WHEN has AND NOT coalesce(had, false) THEN 'start' WHEN has THEN 'update' ELSE 'none' END AS step FROM
+(SELECT 't' || i AS topic, u % 4 AS "partition", CASE WHEN i % 13 <> 0 THEN list_contains([u % 5 + 1, (u + 1) % 5 + 1, (u + 2) % 5 + 1], 1) END AS had, CASE WHEN i % 13 <> 0 THEN u % 5 + 1 END AS ol, CASE WHEN i % 13 <> 0 THEN 1 END AS oe,
+CASE WHEN i % 11 <> 0 THEN list_contains([(u + i % 3) % 5 + 1, (u + i % 3 + 1) % 5 + 1, (u + i % 3 + 2) % 5 + 1], 1) END AS has, CASE WHEN i % 11 <> 0 THEN (u + i % 3) % 5 + 1 END AS nl, CASE WHEN i % 11 <> 0 THEN 1 + i % 2 END AS ne
+FROM {EV} WHERE i % 11 <> 0 OR i % 13 <> 0))""", log=False)
+def q_image_steps(spark, sf_dir):
+    def image(rows, first, epoch):
+        replicas = F.array(*[((first + k) % 5 + 1).cast("int") for k in range(3)])
+        return rows.select(F.concat(F.lit("t"), "i").alias("topic"), (F.col("u") % 4).alias("partition"), replicas.alias("replicas"), F.get(replicas, F.lit(0)).alias("leader"), epoch.cast("long").alias("epoch"))
+
+    ev, i, u = events(spark, sf_dir), F.col("i"), F.col("u")
+    nodes = spark.range(1, 6).select(F.col("id").cast("int").alias("node"), F.concat(F.lit("h"), "id").alias("address"))
+    moved = nodes.where("node <> 4").withColumn("address", F.when(F.col("node") == 2, "elsewhere").otherwise(F.col("address")))
+    return control.image_steps(image(ev.where(i % 13 != 0), u, F.lit(1)), image(ev.where(i % 11 != 0), u + i % 3, 1 + i % 2), nodes, moved, 1)
+
+
+@query(f"SELECT i, i % 3 <> 0 OR u % 40 IN (17, 18, 36) AS admitted FROM {EV}", log=False)
+def q_admitted(spark, sf_dir):
+    requests = events(spark, sf_dir).select("i", (F.col("u") % 40).alias("api_key"), F.when(F.col("i") % 3 != 0, F.col("u").cast("string")).alias("user"))
+    return control.admitted(requests).select("i", "admitted")
+
+
+@query("""WITH RECURSIVE rq AS (SELECT user_id AS u, event_id AS seq, epoch_us(ts) // 10000000 AS ts, trunc(value * 10)::BIGINT AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+fo AS (SELECT u, seq, r, ts AS start, CASE WHEN b <= 5000 THEN b ELSE 0 END AS used, CASE WHEN b <= 5000 THEN 0 ELSE greatest(1, (b - 5000) * 1000 // 5000) END AS delay_ms FROM rq WHERE r = 1 UNION ALL
+SELECT n.u, n.seq, n.r, CASE WHEN n.ts - f.start >= 1000 THEN n.ts ELSE f.start END, CASE WHEN n.ts - f.start >= 1000 THEN 0 WHEN f.used + n.b <= 5000 THEN f.used + n.b ELSE f.used END,
+CASE WHEN n.ts - f.start >= 1000 OR f.used + n.b <= 5000 THEN 0 ELSE greatest(1, (f.used + n.b - 5000) * 1000 // 5000) END FROM fo f JOIN rq n ON n.u = f.u AND n.r = f.r + 1)
+SELECT u AS store, seq, delay_ms FROM fo""", log=False)
+def q_upload_delays(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 10000)
+    return control.upload_delays(ev.select(F.col("user_id").alias("store"), F.col("event_id").alias("seq"), at.alias("at_ms"), (F.col("value") * 10).cast("long").alias("bytes")), 5000)
+
+
+@query(f"SELECT 'user-' || i AS \"user\", substr(sha256('user-' || i), 1, 32) AS salt, i % 4 NOT IN (0, 1) AS accepted FROM {US}", log=False)
+def q_logins(spark, sf_dir):
+    i = F.col("i")
+    word = F.concat(F.lit("secret "), i)
+    attempts = users(spark, sf_dir).select(F.concat(F.lit("user-"), i).alias("user"), F.when(i % 4 != 0, word).alias("password"), F.when(i % 4 == 1, "guess").otherwise(word).alias("offered"))
+    return scram.logins(attempts)
+
+
+@query("""SELECT event_id // 1000 AS segment, kind, event_id // 500 + 1 AS term, CASE kind WHEN 1 THEN 0 ELSE event_id END AS "index", CASE kind WHEN 1 THEN user_id END AS vote,
+CASE kind WHEN 1 THEN event_id - 1 END AS "commit", CASE kind WHEN 2 THEN props END AS payload FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 2 END AS kind FROM events WHERE event_id > 0)""", log=False)
+def q_control_log(spark, sf_dir):
+    i = F.col("event_id")
+    entries = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id > 0").select(
+        F.floor(i / 1000).alias("segment"), i.alias("seq"), F.when(i % 10 == 0, 1).otherwise(2).alias("kind"), (F.floor(i / 500) + 1).alias("term"), i.alias("index"),
+        F.col("user_id").alias("vote"), (i - 1).alias("commit"), F.encode("props", "UTF-8").alias("payload"),
+    )
+    return controllog.replay(controllog.write_segments(entries)).withColumn("payload", F.decode("payload", "UTF-8"))
+
+
+@query(f"""SELECT i AS version, 'topic-' || u AS topic, k::INT AS "partition", (u % 5)::INT AS leader, (i % 100)::INT AS epoch, i % 2 = 0 AS tiered, CASE WHEN i % 3 = 0 THEN i * 1000 END AS retention_ms,
+CASE WHEN i % 4 = 0 THEN u END AS retention_bytes, 'höst-' || u AS host, (9000 + u % 1000)::INT AS port FROM {EV}, unnest(range(1 + i % 3)) AS t(k)""", log=False)
+def q_image_codec(spark, sf_dir):
+    images = events(spark, sf_dir).selectExpr(
+        "i AS version",
+        "array(named_struct('node', cast(u % 5 AS int), 'host', concat('höst-', u), 'port', cast(9000 + u % 1000 AS int))) AS nodes",
+        "transform(sequence(0, cast(i % 3 AS int)), k -> named_struct('topic', concat('topic-', u), 'partition', k, 'replicas', array(cast(u % 5 AS int), 7), 'leader', cast(u % 5 AS int), 'epoch', cast(i % 100 AS int), "
+        "'tiered', i % 2 = 0, 'retention_ms', if(i % 3 = 0, i * 1000, null), 'retention_bytes', if(i % 4 = 0, u, null))) AS assignments",
+    )
+    rows = controllog.read_images(controllog.write_images(images)).select("version", F.explode("assignments").alias("a"), F.get("nodes", F.lit(0)).alias("n"))
+    return rows.select("version", "a.topic", "a.partition", "a.leader", "a.epoch", "a.tiered", "a.retention_ms", "a.retention_bytes", "n.host", "n.port")
+
+
 # -- invariants: each must return no row ------------------------------------------------------------------------------
 
 
